@@ -45,15 +45,14 @@ _BREAKS = (
 def boundary_letters(text: str, spans: list[tuple[int, int]]) -> str:
     """The letter of the place after each token.
 
-    A break lies at both ends of the white space that makes it, since the
-    tokenizer puts a blank before the word that follows.
+    A break lies before the white space that makes it: the tokenizer begins a word with
+    the blank before it, so a piece that ends there has the same tokens on its own.
     """
     strength = np.zeros(len(text) + 1, dtype=np.uint8)
     for rank, (_, pattern) in enumerate(_BREAKS, start=1):
         for m in pattern.finditer(text):
             body = m.group()
-            blank = len(body) - len(body.lstrip()) if body[:1].isspace() else len(body.rstrip())
-            strength[m.start() + (0 if body[:1].isspace() else blank) : m.end() + 1] = rank
+            strength[m.start() + (0 if body[0].isspace() else len(body.rstrip()))] = rank
     at = np.array(spans, dtype=np.int64).reshape(-1, 2)
     ends = at[:, 1]
     letters = np.array(["x", *(name for name, _ in _BREAKS)])[strength[ends]]
