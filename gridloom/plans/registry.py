@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems
+from gridloom.plans import problems, reference
 
 
 def core_queries() -> dict:
-    return dict(problems.QUERIES)
+    return reference.QUERIES | problems.QUERIES
 
 
 def core_sql() -> dict[str, str]:
-    return {}
+    return dict(reference.SQL)
