@@ -98,11 +98,11 @@ def solve_rate(lengths: DataFrame, key: str, length: str, target: float, rounds:
     ends = lengths.groupBy(key).agg(F.max(length).alias("longest"), F.avg((F.col(length) > 0).cast("double")).alias("share"))
     rows = lengths.select(key, F.col(length).alias("len"))
     # mean <= 1 - exp(-longest * rate) bounds the rate from below; doubling finds the upper end
-    low = -F.log(F.lit(1 - target)) / F.col("longest")
+    low = -F.log(F.lit(1 - target)) / F.col("longest") / 2
     bounds = ends.where((F.col("longest") > 0) & (F.col("share") > target)).select(key, low.alias("lo"), (low * 2.0**24).alias("hi"))
     for _ in range(rounds):
-        step = F.pow(F.col("hi") / F.col("lo"), F.col("k") / grid) * F.col("lo")
-        tries = bounds.select(key, F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("k"), "lo", "hi").select(key, step.alias("rate"))
+        step = F.pow(F.col("hi") / F.col("lo"), F.col("__step") / grid) * F.col("lo")
+        tries = bounds.select(key, F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("__step"), "lo", "hi").select(key, step.alias("rate"))
         seen = rows.join(tries.groupBy(key).agg(F.collect_list("rate").alias("rates")), key).select(key, "len", F.explode("rates").alias("rate"))
         means = seen.groupBy(key, "rate").agg(F.avg(1 - F.exp(-F.col("len") * F.col("rate"))).alias("mean"))
         bounds = means.groupBy(key).agg(F.max(F.when(F.col("mean") <= target, F.col("rate"))).alias("lo"), F.min(F.when(F.col("mean") >= target, F.col("rate"))).alias("hi"))

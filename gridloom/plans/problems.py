@@ -68,3 +68,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_runs, p3_found, p3_networks, p3_nodes, p3_edges, p4_found, p4_counts, p4_snapshots, p5_found)}
+
+
+_ORPHANS = """WITH nd AS (SELECT DISTINCT graph_id, lower(trim(label, chr(32) || chr(9) || chr(10) || chr(13))) AS k, created_at, deleted_at FROM nodes WHERE label IS NOT NULL AND graph_id IS NOT NULL),
+rf AS (SELECT DISTINCT * FROM (SELECT 'capacitors' AS ref_table, cap_id AS ref_id, 'node' AS field, graph_id, node AS label, recorded_at FROM capacitors
+ UNION ALL SELECT 'voltage_regulators', reg_id, 'node_a', graph_id, node_a, recorded_at FROM voltage_regulators
+ UNION ALL SELECT 'voltage_regulators', reg_id, 'node_b', graph_id, node_b, recorded_at FROM voltage_regulators)),
+rk AS (SELECT ref_table, ref_id, field, graph_id, lower(trim(label, chr(32) || chr(9) || chr(10) || chr(13))) AS k, recorded_at FROM rf WHERE label IS NOT NULL),
+j AS (SELECT ref_table, ref_id, field, recorded_at, count(nd.k) AS n, bool_or(created_at <= recorded_at AND (deleted_at IS NULL OR recorded_at < deleted_at)) AS valid, bool_and(created_at > recorded_at) AS late
+ FROM rk LEFT JOIN nd ON nd.graph_id = rk.graph_id AND nd.k = rk.k WHERE rk.k <> '' GROUP BY ref_table, ref_id, field, recorded_at),
+op AS (SELECT ref_table, ref_id, field, recorded_at, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS kind FROM j WHERE valid IS DISTINCT FROM true)"""
+
+_EDGES = """WITH RECURSIVE cell(rec_id, root, prefix, c) AS (
+ SELECT rec_id, root, '' AS prefix, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS c
+ FROM (SELECT rec_id, root, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (SELECT rec_id, 'graph' AS root, graph AS t FROM networks UNION ALL SELECT rec_id, 'optimal_network', optimal_network FROM networks))
+ UNION ALL
+ SELECT rec_id, root, prefix || i || '/', CASE WHEN json_type(s) = 'VARCHAR' THEN CASE WHEN json_valid(s ->> '$') THEN CAST(s ->> '$' AS JSON) END ELSE s END
+ FROM (SELECT rec_id, root, prefix, i, coalesce(e -> '$[1].subgraph', e -> '$.attrs.subgraph') AS s
+  FROM (SELECT rec_id, root, prefix, i, c -> ('$.graph.edges[' || i || ']') AS e FROM (SELECT rec_id, root, prefix, c, unnest(range(0, CAST(coalesce(json_array_length(c, '$.graph.edges'), 0) AS BIGINT))) AS i FROM cell WHERE c IS NOT NULL)))
+ WHERE s IS NOT NULL AND json_type(s) <> 'NULL'),
+ed AS (SELECT rec_id, root, prefix || i AS path, c -> ('$.graph.edges[' || i || ']') AS e FROM (SELECT rec_id, root, prefix, c, unnest(range(0, CAST(coalesce(json_array_length(c, '$.graph.edges'), 0) AS BIGINT))) AS i FROM cell WHERE c IS NOT NULL)),
+en AS (SELECT rec_id, root, path, coalesce(e ->> '$[0][0]', e ->> '$.source', e ->> '$.u') AS a, coalesce(e ->> '$[0][1]', e ->> '$.target', e ->> '$.v') AS b FROM ed WHERE json_type(e) <> 'NULL')"""
+
+SQL = {
+    "p3_found": f"{_EDGES} SELECT DISTINCT rec_id, root, path, least(a, b) AS u, greatest(a, b) AS v FROM en",
+    "p4_found": f"{_ORPHANS} SELECT ref_table, ref_id, field, kind FROM op",
+    "p4_counts": f"{_ORPHANS} SELECT ref_table, field, kind, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM op GROUP BY 1, 2, 3, 4",
+}

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import geo, prob
-from gridloom.operators import analysis, graphs, reliability
+from gridloom.operators import analysis, design, graphs, reliability, simulation
 from gridloom.session import table
 from gridloom.streaming import windows
 
@@ -733,3 +733,47 @@ def stream_tumbling_counts(spark, sf_dir):
     return last.select("day", "event_type", "s.n", r("s.total", 6).alias("total"))
 
 
+# --- simulation and design -----------------------------------------------------------------------
+
+HORIZON, CYCLE = 365.0, 0.5
+
+
+def _simulated(spark, sf_dir, measure):
+    nodes, edges = region_edges(spark, sf_dir)
+    return simulation.simulate(nodes.select("graph_id", "node", "weight"), edges, HORIZON, CYCLE, measure)
+
+
+@query()
+def sim_saidi(spark, sf_dir):
+    """Simulated share of weight cut off over a year, per region."""
+    return simulation.mean_loss(_simulated(spark, sf_dir, "saidi"))
+
+
+@query()
+def sim_pairwise(spark, sf_dir):
+    return simulation.mean_loss(_simulated(spark, sf_dir, "pairwise"))
+
+
+@query()
+def sim_cumulative(spark, sf_dir):
+    return simulation.cumulative(_simulated(spark, sf_dir, "saidi"))
+
+
+@query()
+def design_network(spark, sf_dir):
+    """A network of redundancy 3 over the points of each label."""
+    return design.design(points(spark, sf_dir).select(F.col("label").alias("set_id"), "id", "x", "y"), 3)
+
+
+@query()
+def improve_tree(spark, sf_dir):
+    """The spanning tree of each label's points with three chords."""
+    return design.improve_trees(points(spark, sf_dir).select(F.col("label").alias("set_id"), "id", "x", "y"), 3)
+
+
+@query()
+def bridges(spark, sf_dir):
+    """Bridges of each component of the near-point graph."""
+    edges = near(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    named = edges.join(graphs.components(edges).select(F.col("node").alias("u"), F.col("component").alias("graph_id")), "u")
+    return design.bridges(named)

@@ -10,4 +10,4 @@ def core_queries() -> dict:
 
 
 def core_sql() -> dict[str, str]:
-    return dict(reference.SQL)
+    return reference.SQL | problems.SQL
