@@ -327,8 +327,8 @@ def _salted(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     return salted.repartition(*keys, "salt").dropDuplicates()
 
 
-def day_sketches(series: DataFrame, sweep: DataFrame, k: int = K) -> DataFrame:
-    """Sketches per ``measure, graph_id, run_day`` (and salt) of saidi and p of series and of rel and p of sweep."""
+def measurements(series: DataFrame, sweep: DataFrame) -> list[DataFrame]:
+    """``graph_id, run_day, measure, value`` of saidi and p of series, and of rel and p of sweep."""
     digest = lambda df, used: F.xxhash64(*[F.col(c) for c in df.columns if c not in used]).alias("rest")
     used = ["row_id", "graph_id", "run_day", "saidi", "p"]
     points = _salted(series.select(*used, digest(series, used)), ["graph_id", "run_day"], "row_id")
@@ -342,8 +342,12 @@ def day_sketches(series: DataFrame, sweep: DataFrame, k: int = K) -> DataFrame:
 
     each = F.explode(F.concat(named("sweep.rel", "rel"), named("sweep.p", "p"))).alias("m")
     sweep_values = trials.select("graph_id", "run_day", each)
-    keys = ["graph_id", "run_day", "measure"]
-    built = [sketch(v.select("graph_id", "run_day", "m.measure", (F.col("m.value") + F.lit(0.0)).alias("value")).where(measurement(F.col("value"))), keys, k) for v in (series_values, sweep_values)]
+    return [v.select("graph_id", "run_day", "m.measure", (F.col("m.value") + F.lit(0.0)).alias("value")).where(measurement(F.col("value"))) for v in (series_values, sweep_values)]
+
+
+def day_sketches(series: DataFrame, sweep: DataFrame, k: int = K) -> DataFrame:
+    """Sketches per ``graph_id, run_day, measure`` and partition."""
+    built = [sketch(v, ["graph_id", "run_day", "measure"], k) for v in measurements(series, sweep)]
     return built[0].unionByName(built[1])
 
 
@@ -359,3 +363,26 @@ def percentiles_of(series: DataFrame, sweep: DataFrame, k: int = K) -> DataFrame
     in_all = ask(merge(days, graph, k), graph, k=k).withColumn("period", F.lit("all")).withColumn("run_day", F.lit(None).cast("date"))
     columns = ["measure", "period", "graph_id", "run_day", "n", *[f"p{p:02d}" for p in PERCENTILES], "max_rank_error"]
     return by_day.select(columns).unionByName(in_all.select(columns))
+
+
+def rank_errors(series: DataFrame, sweep: DataFrame, allowed: float = 0.01) -> DataFrame:
+    """The percentiles held against all values: ``measure, period, graph_id, run_day, n, within``.
+
+    Each value is counted against the percentiles of its groups; ``within`` tells whether the
+    true ranks of all of them are at most ``allowed`` of the group away from those asked for.
+    """
+    asked = percentiles_of(series, sweep)
+    names = [f"p{p:02d}" for p in PERCENTILES]
+    values = measurements(series, sweep)
+    both = F.explode(F.array(F.struct(F.lit("day").alias("period"), F.col("run_day").alias("run_day")), F.struct(F.lit("all").alias("period"), F.lit(None).cast("date").alias("run_day")))).alias("g")
+    rows = values[0].unionByName(values[1]).groupBy("graph_id", "run_day", "measure", "value").agg(F.count("*").alias("c")).select("graph_id", "measure", "value", "c", both)
+    key = lambda df: F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("measure", "period", "graph_id", "run_day")])
+    rows = rows.select("graph_id", "measure", "g.period", "g.run_day", "value", "c").withColumn("key", key(None)).groupBy("key", "value").agg(F.sum("c").alias("c"))
+    groups = asked.withColumn("key", key(None))
+    held = rows.join(groups.select("key", *names), "key")
+    counts = held.groupBy("key").agg(*[F.sum(F.when(F.col("value") < F.col(p), F.col("c")).otherwise(0)).alias(f"l_{p}") for p in names], *[F.sum(F.when(F.col("value") <= F.col(p), F.col("c")).otherwise(0)).alias(f"h_{p}") for p in names])
+    fine = F.lit(True)
+    for p, name in zip(PERCENTILES, names, strict=True):
+        want = F.greatest(F.ceil(F.lit(p / 100) * F.col("n") - 1e-9), F.lit(1))
+        fine = fine & (F.greatest(F.col(f"l_{name}") + 1 - want, want - F.col(f"h_{name}"), F.lit(0)) <= F.col("n") * allowed)
+    return groups.join(counts, "key", "left").select("measure", "period", "graph_id", "run_day", "n", F.coalesce(fine, F.lit(False)).alias("within"))

@@ -12,6 +12,12 @@ def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles_of(table(spark, sf_dir, "series"), table(spark, sf_dir, "sweep"))
 
 
+def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group's percentiles held against all its values; the SQL counts the same values."""
+    held = percentiles.rank_errors(table(spark, sf_dir, "series"), table(spark, sf_dir, "sweep"))
+    return held.withColumn("run_day", held["run_day"].cast("string"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -28,5 +34,12 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p6_ids, p7_containers, p8_found, p8_pieces)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_rank_errors, p6_ids, p7_containers, p8_found, p8_pieces)}
+SQL: dict[str, str] = {
+    "p1_rank_errors": """WITH s AS (SELECT DISTINCT * FROM series), w AS (SELECT DISTINCT * FROM sweep),
+v AS (SELECT 'series.saidi' AS measure, graph_id, run_day, saidi AS v FROM s UNION ALL SELECT 'series.p', graph_id, run_day, p FROM s
+ UNION ALL SELECT 'sweep.rel', graph_id, CAST(run_at AS DATE), unnest(rel) FROM w UNION ALL SELECT 'sweep.p', graph_id, CAST(run_at AS DATE), unnest(p) FROM w),
+f AS (SELECT * FROM v WHERE v IS NOT NULL AND isfinite(v) AND v >= 0)
+SELECT measure, 'day' AS period, graph_id, CAST(run_day AS VARCHAR) AS run_day, count(*) AS n, true AS within FROM f GROUP BY measure, graph_id, run_day
+UNION ALL SELECT measure, 'all', graph_id, NULL, count(*), true FROM f GROUP BY measure, graph_id""",
+}
