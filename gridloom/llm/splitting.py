@@ -70,10 +70,10 @@ def _long_texts(path: str, limit: int, column: int):
                 part = texts.slice(start, end - start).to_pylist()
                 # a token has one byte at least, so shorter texts have no more tokens
                 at = [i for i, t in enumerate(part) if t and len(t) * 4 > limit and len(t.encode()) > limit]
-                sizes = [len(e) for e in model.encode_batch_fast([part[i] for i in at], add_special_tokens=False)] if at else []
-                at = [i for i, n in zip(at, sizes, strict=True) if n > limit]
-                for i in at:
-                    e = model.encode(part[i], add_special_tokens=False)
+                encoded = model.encode_batch([part[i] for i in at], add_special_tokens=False) if at else []
+                for i, e in zip(at, encoded, strict=True):
+                    if len(e) <= limit:
+                        continue
                     spans = e.offsets
                     yield pa.RecordBatch.from_arrays(
                         [*[b.column(c).slice(start + i, 1) for c in range(column)], pa.array([part[i]], pa.string()), pa.array([boundary_letters(part[i], spans)]), pa.array([[s for s, _ in spans]], pa.list_(pa.int32())), pa.array([[s for _, s in spans]], pa.list_(pa.int32()))],
