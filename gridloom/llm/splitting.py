@@ -20,7 +20,6 @@ after the last token of the room; repeated rows are split each; other columns ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,32 +32,58 @@ from gridloom.llm.tokens import TOKENIZER, _text_spans, load, tokenizer_path
 LIMIT, OVERLAP = 1024, 64
 LETTERS = "plscw"
 
-_BREAKS = (
-    ("w", re.compile(r"\s+")),
-    ("c", re.compile(r"[,;:،；，、–—][\"'”’»)\]]*\s+|[，；、：]")),
-    ("s", re.compile(r"[.!?…؟][\"'”’»)\]]*\s+|[。！？][”’」』）]*")),
-    ("l", re.compile(r"[^\S\n]*(?:\r?\n|\r| )[^\S\n]*")),
-    ("p", re.compile(r"\s*(?:\n\s*\n| )\s*")),
-)
+_CLAUSE, _SENTENCE, _CLOSERS = ",;:،؛–—", ".!?…؟", "\"'”’»)]"
+_WIDE_CLAUSE, _WIDE_SENTENCE, _WIDE_CLOSERS = "，；、：", "。！？", "”’」』）"
+_SPACES = np.array([chr(c).isspace() for c in range(0x3001)])
+_RANKS = np.frombuffer(b"xwcslp", dtype=np.uint8)
 
 
-def boundary_letters(text: str, spans: list[tuple[int, int]]) -> str:
-    """The letter of the place after each token.
+def _among(codes: np.ndarray, characters: str) -> np.ndarray:
+    return np.isin(codes, np.array([ord(c) for c in characters], dtype=codes.dtype))
+
+
+def break_ranks(text: str) -> np.ndarray:
+    """For each place of the text (0 before the first character) the strength of the break there, 0 for none.
 
     A break lies before the white space that makes it: the tokenizer begins a word with
     the blank before it, so a piece that ends there has the same tokens on its own.
     """
-    strength = np.zeros(len(text) + 1, dtype=np.uint8)
-    for rank, (_, pattern) in enumerate(_BREAKS, start=1):
-        for m in pattern.finditer(text):
-            body = m.group()
-            strength[m.start() + (0 if body[0].isspace() else len(body.rstrip()))] = rank
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(codes)
+    ranks = np.zeros(n + 1, dtype=np.uint8)
+    space = _SPACES[np.minimum(codes, 0x3000)] & (codes <= 0x3000)
+    start = np.flatnonzero(space & ~np.r_[False, space[:-1]])
+    end = np.flatnonzero(space & ~np.r_[space[1:], False]) + 1
+    feeds = np.r_[0, np.cumsum(codes == 10)]
+    lines = np.r_[0, np.cumsum(_among(codes, "\n\r\u2028"))]
+    paragraphs = np.r_[0, np.cumsum(codes == 0x2029)]
+    before = start - 1
+    for _ in range(3):  # marks that close a quotation or a bracket
+        before = np.where((before > 0) & _among(codes[before], _CLOSERS), before - 1, before)
+    found = np.ones(len(start), dtype=np.uint8)
+    known = before >= 0
+    found[known & _among(codes[before], _CLAUSE)] = 2
+    found[known & _among(codes[before], _SENTENCE)] = 3
+    found[lines[end] > lines[start]] = 4
+    found[(feeds[end] - feeds[start] > 1) | (paragraphs[end] > paragraphs[start])] = 5
+    ranks[start] = found
+    # scripts without blanks: a break follows the mark itself
+    for marks, rank in ((_WIDE_CLAUSE, 2), (_WIDE_SENTENCE, 3)):
+        at = np.flatnonzero(_among(codes, marks)) + 1
+        for _ in range(2):
+            at = np.where((at < n) & _among(codes[np.minimum(at, n - 1)], _WIDE_CLOSERS), at + 1, at)
+        ranks[at] = np.maximum(ranks[at], rank)
+    return ranks
+
+
+def boundary_letters(text: str, spans: list[tuple[int, int]]) -> str:
+    """The letter of the place after each token."""
     at = np.array(spans, dtype=np.int64).reshape(-1, 2)
     ends = at[:, 1]
-    letters = np.array(["x", *(name for name, _ in _BREAKS)])[strength[ends]]
+    letters = _RANKS[break_ranks(text)[ends]].copy()
     # the next token begins before this one ends: both lie in the same character
-    letters[:-1][at[1:, 0] < ends[:-1]] = "m"
-    return "".join(letters)
+    letters[:-1][at[1:, 0] < ends[:-1]] = ord("m")
+    return letters.tobytes().decode()
 
 
 def _long_texts(path: str, limit: int, column: int):
