@@ -6,37 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import nested, orphans, schema_drift, spatial
-from gridloom.session import table
+from gridloom.session import spread_out, table
 
 NEAR_METRES = 25.0
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "sweep_files").select("stream_id", "file_id", "written_at", "line_no", "body"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.changes(table(spark, sf_dir, "sweep_files")).select("file_id", "field", "change").distinct()
+    return schema_drift.changes(_lines(spark, sf_dir)).select("file_id", "field", "change").distinct()
 
 
 def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.changes(table(spark, sf_dir, "sweep_files"))
+    return schema_drift.changes(_lines(spark, sf_dir))
 
 
 def p2_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_drift.runs(table(spark, sf_dir, "sweep_files"))
+    return schema_drift.runs(_lines(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.edge_ends(table(spark, sf_dir, "networks"))
+    return nested.edge_ends(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")))
 
 
 def p3_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(table(spark, sf_dir, "networks"), "networks")
+    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "networks")
 
 
 def p3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(table(spark, sf_dir, "networks"), "nodes")
+    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "nodes")
 
 
 def p3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(table(spark, sf_dir, "networks"), "edges")
+    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "edges")
 
 
 def _tracker(spark: SparkSession, sf_dir: str) -> orphans.OrphanTracker:

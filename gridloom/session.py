@@ -39,3 +39,13 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
     for entry in sorted(os.listdir(sf_dir)):
         if entry.endswith(".parquet"):
             spark.read.parquet(f"{sf_dir}/{entry}").createOrReplaceTempView(entry[:-8])
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: rows of a scan with fewer partitions than cores are dealt out, others stay where they are.
+
+    For work that costs far more than the rows' way over the network (parsing, encoding). A large table has more
+    partitions than cores, so there it adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
