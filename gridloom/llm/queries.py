@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import packing, percentiles, splitting, tokens
-from gridloom.session import table
+from gridloom.session import spread_out, table
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,20 +18,24 @@ def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("run_day", held["run_day"].cast("string"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents"))
+    return tokens.encode(_documents(spark, sf_dir))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(tokens.token_counts(table(spark, sf_dir, "documents")), "doc_id", "tokens")
+    return packing.pack(tokens.token_counts(_documents(spark, sf_dir)), "doc_id", "tokens")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split(table(spark, sf_dir, "documents")).where("piece_no = 1").select("doc_id").distinct()
+    return splitting.split(_documents(spark, sf_dir)).where("piece_no = 1").select("doc_id").distinct()
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split(table(spark, sf_dir, "documents"))
+    return splitting.split(_documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_percentiles, p1_rank_errors, p6_ids, p7_containers, p8_found, p8_pieces)}
