@@ -367,14 +367,42 @@ def inter_risk(spark, sf_dir):
 SELECT x.label AS chain_from, y.label AS chain_to, i, round((((y.l - i - 1) * (y.l - i) * (y.l - i + 1) - (y.l - 1) * y.l * (y.l + 1) + (x.l + i - 1) * (x.l + i) * (x.l + i + 1) - (x.l - 1) * x.l * (x.l + 1)) / 6) / h0, 9) AS d_risk
 FROM c x JOIN c y ON x.label <> y.label CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) CROSS JOIN h WHERE i < y.l""")
 def rewire_candidates(spark, sf_dir):
-    """Change of risk when the first i nodes of one chain move to another."""
+    """Change of risk when the first i nodes of one chain move to another, for i up to three; ``rewire_all_candidates`` has every i."""
+    pairs = _chain_pairs(spark, sf_dir)
+    return _moved_risk(pairs.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("i < l2"))
+
+
+#: Positions of a chain that one row gives at a time.
+POSITIONS = 1 << 16
+
+
+@query(f"""WITH {POINTS}, c AS (SELECT label, count(*) AS l FROM pt GROUP BY label), h AS (SELECT sum((l - 1) * l * (l + 1) / 6) AS h0 FROM c), m AS (SELECT x.label AS chain_from, y.label AS chain_to, x.l AS l1, y.l AS l2, unnest(range(1, y.l)) AS i FROM c x JOIN c y ON x.label <> y.label)
+SELECT chain_from, chain_to, i, round((((l2 - i - 1) * (l2 - i) * (l2 - i + 1) - (l2 - 1) * l2 * (l2 + 1) + (l1 + i - 1) * (l1 + i) * (l1 + i + 1) - (l1 - 1) * l1 * (l1 + 1)) / 6) / h0, 9) AS d_risk FROM m CROSS JOIN h""")
+def rewire_all_candidates(spark, sf_dir):
+    """Change of risk for every move between two chains, i from 1 to one less than the second chain's length.
+
+    Long chains are divided, so that no row holds more than ``POSITIONS`` positions and one pair is spread over tasks.
+    """
+    pairs = _chain_pairs(spark, sf_dir).where("l2 > 1")
+    parts = pairs.withColumn("i0", F.explode(F.expr(f"sequence(1L, l2 - 1, {POSITIONS}L)"))).repartition("chain_from", "chain_to", "i0")
+    return _moved_risk(parts.withColumn("i", F.explode(F.expr(f"sequence(i0, least(i0 + {POSITIONS - 1}, l2 - 1))"))))
+
+
+def _chain_pairs(spark, sf_dir) -> DataFrame:
+    """Ordered pairs of labels as chains with their lengths, and the risk ``h0`` of all chains."""
     c = points(spark, sf_dir).groupBy("label").agg(F.count("*").alias("l"))
-    h = lambda x: (x - 1) * x * (x + 1) / 6
-    total = c.agg(F.sum(h(F.col("l"))).alias("h0"))
+    total = c.agg(F.sum(_risk(F.col("l"))).alias("h0"))
     a, b = c.select(F.col("label").alias("chain_from"), F.col("l").alias("l1")), c.select(F.col("label").alias("chain_to"), F.col("l").alias("l2"))
-    m = a.join(b, F.col("chain_from") != F.col("chain_to")).withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("i < l2").crossJoin(F.broadcast(total))
+    return a.join(b, F.col("chain_from") != F.col("chain_to")).crossJoin(F.broadcast(total))
+
+
+def _risk(x: Column) -> Column:
+    return (x - 1) * x * (x + 1) / 6
+
+
+def _moved_risk(moves: DataFrame) -> DataFrame:
     i, l1, l2 = F.col("i"), F.col("l1"), F.col("l2")
-    return m.select("chain_from", "chain_to", "i", r((h(l2 - i) - h(l2) + h(l1 + i) - h(l1)) / F.col("h0")).alias("d_risk"))
+    return moves.select("chain_from", "chain_to", "i", r((_risk(l2 - i) - _risk(l2) + _risk(l1 + i) - _risk(l1)) / F.col("h0")).alias("d_risk"))
 
 
 FORMULA = """SELECT n, r, round(((5e-4 * 5e-4 * (l ** 3 + 3 * l ** 2 + 2 * l) / 6) * (chains - k) + (5e-4 * 5e-4 * ((l + 1) ** 3 + 3 * (l + 1) ** 2 + 2 * (l + 1)) / 6) * k) / n, 12) AS loss FROM (
