@@ -1,11 +1,14 @@
-"""Monte Carlo simulation of failing edges as windows over generated events."""
+"""Monte Carlo simulation of failing edges: windows give the events, a kernel per graph the states between them."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_EDGES = 62
+REMEMBERED = 100_000
 
 
 def uniform(*keys: Column | str, seed: int = 0) -> Column:
@@ -30,39 +33,60 @@ def events(edges: DataFrame, horizon: float, cycle: float, seed: int = 0) -> Dat
     return timed.select("graph_id", "edge_id", F.sum("dt").over(w).alias("t"), (F.col("k") % 2 == 0).alias("up")).where(F.col("t") < horizon)
 
 
-def down_sets(happened: DataFrame, horizon: float) -> DataFrame:
-    """``graph_id, t0, t1, down``: the mask of the edges that are down from ``t0`` to ``t1``.
+def lost_share(weights: dict[int, float], links: list[tuple[int, int]], measure: str) -> float:
+    """Of a graph with the edges ``links``: weight cut off from node 0, or share of the pairs without link; without weight or pairs, zero."""
+    root = {n: n for n in weights} | {n: n for link in links for n in link}
 
-    Each event flips its edge's bit, so the running exclusive or is the state.
-    """
-    begin = happened.select("graph_id").distinct().select("graph_id", F.lit(0.0).alias("t"), F.lit(0).cast("bigint").alias("bit"))
-    flips = happened.select("graph_id", "t", F.expr("shiftleft(1L, int(edge_id))").alias("bit")).unionByName(begin)
-    w = Window.partitionBy("graph_id").orderBy("t", "bit")
-    return flips.select("graph_id", F.col("t").alias("t0"), F.coalesce(F.lead("t").over(w), F.lit(horizon)).alias("t1"), F.bit_xor("bit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("down"))
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for u, v in links:
+        a, b = find(u), find(v)
+        if a != b:
+            root[b] = a
+    if measure == "saidi":
+        total = sum(w for n, w in weights.items() if n > 0)
+        source = find(0) if 0 in root else None
+        return sum(w for n, w in weights.items() if n > 0 and find(n) != source) / total if total else 0.0
+    pairs = len(weights) * (len(weights) - 1) / 2
+    return 1 - sum(c * (c - 1) / 2 for c in Counter(find(n) for n in weights).values()) / pairs if pairs else 0.0
 
 
 def simulate(nodes: DataFrame, edges: DataFrame, horizon: float, cycle: float, measure: str = "saidi", seed: int = 0) -> DataFrame:
-    """``graph_id, t0, t1, lost``: the lost share from one event to the next.
+    """``graph_id, t0, t1, lost``: the lost share from one event to the next, a single step for a graph without events.
 
-    ``nodes``: ``graph_id, node (0..62, 0 the source), weight``; ``edges``: ``graph_id, edge_id (0..61), u, v, prob``.
+    ``nodes``: ``graph_id, node (0 the source), weight``; ``edges``: ``graph_id, edge_id, u, v, prob``; any number of both.
     ``measure`` is ``saidi`` (weight cut off from the source) or ``pairwise`` (pairs without link).
-    Connectivity is worked out once for every state that occurs, not for every event.
+    One graph is one group. Each event flips its edge's bit of a mask as long as the graph needs;
+    connectivity is worked out once for every state that occurs, not for every event, while up to ``REMEMBERED`` states are known.
     """
     if measure not in ("saidi", "pairwise"):
         raise ValueError(measure)
-    steps = down_sets(events(edges, horizon, cycle, seed), horizon)
-    graph = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("edge_id", "u", "v"))).alias("e"))
-    graph = graph.join(nodes.groupBy("graph_id").agg(F.collect_list(F.struct("node", "weight")).alias("w")), "graph_id")
-    seen = steps.select("graph_id", "down").distinct().join(graph, "graph_id")
-    up = F.expr("transform(filter(e, x -> (down & shiftleft(1L, int(x.edge_id))) = 0), x -> shiftleft(1L, int(x.u)) | shiftleft(1L, int(x.v)))")
-    merged = "aggregate(up, cast(array() as array<bigint>), (acc, m) -> concat(filter(acc, x -> (x & m) = 0L), array(aggregate(filter(acc, x -> (x & m) != 0L), m, (z, x) -> z | x))))"
-    groups = seen.withColumn("up", up).withColumn("groups", F.expr(merged))
-    if measure == "saidi":
-        reach = "coalesce(get(filter(groups, x -> (x & 1L) != 0), 0), 1L)"
-        lost = F.expr(f"aggregate(filter(w, n -> n.node > 0), 0D, (a, n) -> a + if(({reach} & shiftleft(1L, int(n.node))) = 0, n.weight, 0D)) / aggregate(filter(w, n -> n.node > 0), 0D, (a, n) -> a + n.weight)")
-    else:
-        lost = F.expr("1 - aggregate(groups, 0D, (a, x) -> a + bit_count(x) * (bit_count(x) - 1) / 2) / (size(w) * (size(w) - 1) / 2)")
-    return steps.join(groups.select("graph_id", "down", lost.alias("lost")), ["graph_id", "down"]).select("graph_id", "t0", "t1", "lost")
+    none = F.lit(None).cast("bigint")
+    graph = edges.select(F.col("graph_id").alias("graph_id"), F.col("edge_id").cast("bigint").alias("edge_id"), F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), F.lit(0.0).alias("weight"))
+    graph = graph.unionByName(nodes.select("graph_id", none.alias("edge_id"), F.col("node").cast("bigint").alias("u"), none.alias("v"), F.col("weight").cast("double").alias("weight")))
+
+    def run(key: tuple, happened: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        points, links = graph[graph.v.isna()], graph[graph.v.notna()]
+        weights = {int(n): float(w) for n, w in zip(points.u, points.weight, strict=True)}
+        place = {e: i for i, e in enumerate(sorted(set(links.edge_id)))}
+        ends = [(1 << place[e], (int(u), int(v))) for e, u, v in zip(links.edge_id, links.u, links.v, strict=True)]
+        happened = happened.sort_values(["t", "edge_id"])
+        times, lost, known, down = [0.0, *happened.t], [], {}, 0
+        for bit in [0, *(1 << place[e] for e in happened.edge_id)]:
+            down ^= bit
+            if down not in known:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[down] = lost_share(weights, [link for b, link in ends if not down & b], measure)
+            lost.append(known[down])
+        return pd.DataFrame({"graph_id": key[0], "t0": times, "t1": [*times[1:], horizon], "lost": lost})
+
+    happened = events(edges, horizon, cycle, seed).select("graph_id", "t", "edge_id")
+    kind = edges.schema["graph_id"].dataType.simpleString()
+    return happened.groupBy("graph_id").cogroup(graph.groupBy("graph_id")).applyInPandas(run, f"graph_id {kind}, t0 double, t1 double, lost double")
 
 
 def mean_loss(steps: DataFrame) -> DataFrame:

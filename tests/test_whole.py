@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from gridloom.operators import simulation
 from gridloom.plans import reference
 
 
@@ -19,3 +20,32 @@ def test_every_position_of_a_chain_is_a_candidate(spark, small, monkeypatch):
     total = sum(h(x) for x in size.values())
     for (a, b, i), d in got.items():
         assert d == pytest.approx((h(size[b] - i) - h(size[b]) + h(size[a] + i) - h(size[a])) / total, abs=2e-9)
+
+
+RING = "graph_id bigint, edge_id bigint, u bigint, v bigint, prob double"
+
+
+@pytest.mark.parametrize("measure", ["saidi", "pairwise"])
+def test_simulation_of_a_graph_of_over_64_edges(spark, measure):
+    n = 80
+    ring = [(1, i, i, (i + 1) % n, 0.02) for i in range(n)]
+    edges = spark.createDataFrame(ring, RING)
+    nodes = spark.createDataFrame([(1, i, 1.0) for i in range(n)], "graph_id bigint, node bigint, weight double")
+    happened = sorted((r.t, r.edge_id) for r in simulation.events(edges, 50.0, 0.5).collect())
+    assert any(e >= 64 for _, e in happened)
+    down, want = set(), [0.0]
+    for _, e in happened:
+        down ^= {e}
+        cuts = sorted(down)
+        arcs = [(b - a - 1) % n + 1 for a, b in zip(cuts, cuts[1:] + cuts[:1], strict=True)] if cuts else [n]
+        with_source = n if len(cuts) < 2 else (cuts[0] - cuts[-1] - 1) % n + 1
+        want.append((n - with_source) / (n - 1) if measure == "saidi" else 1 - sum(c * (c - 1) for c in arcs) / (n * (n - 1)))
+    got = simulation.simulate(nodes, edges, 50.0, 0.5, measure).orderBy("t0", "t1").collect()
+    assert [r.t0 for r in got] == pytest.approx([0.0, *(t for t, _ in happened)])
+    assert [r.lost for r in got] == pytest.approx(want, abs=1e-12) and max(want) > 0
+
+
+def test_simulation_keeps_graphs_without_events(spark):
+    edges = spark.createDataFrame([(1, 0, 0, 1, 0.0)], RING)
+    nodes = spark.createDataFrame([(1, 0, 1.0), (1, 1, 1.0)], "graph_id bigint, node bigint, weight double")
+    assert [tuple(r) for r in simulation.simulate(nodes, edges, 10.0, 0.5).collect()] == [(1, 0.0, 10.0, 0.0)]
