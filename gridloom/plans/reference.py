@@ -173,41 +173,26 @@ def path_one_source_loss(spark, sf_dir):
 # --- exact reliability -----------------------------------------------------------------------
 
 
-def _states(spark, sf_dir):
-    nodes, edges = region_edges(spark, sf_dir)
-    return nodes, edges, reliability.states(edges)
-
-
 @query(f"WITH {STATES} x AS (SELECT 1) SELECT m4.g AS graph_id, round(sum(prob * w.w) / max(t.w), 9) AS saidi FROM m4 JOIN pr USING (g, state) JOIN (SELECT g, i, nk + 1.0 AS w FROM idx WHERE i > 0) w ON w.g = m4.g AND (mask >> w.i) & 1 = 0 JOIN (SELECT g, sum(nk + 1.0) AS w FROM idx WHERE i > 0 GROUP BY g) t ON t.g = m4.g WHERE st = 0 GROUP BY m4.g")
 def k5_state_enum_saidi(spark, sf_dir):
-    nodes, _, s = _states(spark, sf_dir)
-    w = nodes.where("node > 0")
-    lost = s.join(w, "graph_id").where("(shiftright(reach, int(node)) & 1L) = 0").groupBy("graph_id").agg(F.sum(F.col("prob") * F.col("weight")).alias("lost"))
-    return lost.join(w.groupBy("graph_id").agg(F.sum("weight").alias("w")), "graph_id").select("graph_id", r(F.col("lost") / F.col("w")).alias("saidi"))
+    return reliability.saidi_exact(*region_edges(spark, sf_dir)).select("graph_id", r("saidi").alias("saidi"))
 
 
 @query(f"WITH {STATES} x AS (SELECT 1) SELECT g AS graph_id, round(sum(prob), 9) AS disconnected FROM m4 JOIN pr USING (g, state) WHERE st = 0 AND mask <> 31 GROUP BY g")
 def k5_all_terminal(spark, sf_dir):
-    _, _, s = _states(spark, sf_dir)
-    return s.where("reach <> 31").groupBy("graph_id").agg(r(F.sum("prob")).alias("disconnected"))
+    return reliability.all_terminal(*region_edges(spark, sf_dir)).select("graph_id", r("disconnected").alias("disconnected"))
 
 
 @query(f"WITH {STATES} x AS (SELECT 1), c AS (SELECT g, state, sum(bit_count(mask) - 1) / 2 AS pairs FROM m4 GROUP BY g, state) SELECT g AS graph_id, round(1 - sum(prob * pairs) / 10, 9) AS pairwise_loss FROM c JOIN pr USING (g, state) GROUP BY g")
 def k5_pairwise(spark, sf_dir):
-    _, _, s = _states(spark, sf_dir)
-    linked = F.expr("aggregate(groups, 0D, (a, x) -> a + bit_count(x) * (bit_count(x) - 1) / 2)")
-    return s.groupBy("graph_id").agg(r(1 - F.sum(F.col("prob") * linked) / 10).alias("pairwise_loss"))
+    return reliability.pairwise(*region_edges(spark, sf_dir)).select("graph_id", r("pairwise_loss").alias("pairwise_loss"))
 
 
 @query(f"""WITH {STATES} x AS (SELECT 1), k AS (SELECT e.g, e.u, e.v, prob / e.p AS q, (mask >> e.u) & 1 AS ru, (mask >> e.v) & 1 AS rv FROM m4 JOIN pr USING (g, state) JOIN e ON e.g = m4.g WHERE st = 0 AND (m4.state >> e.eid) & 1 = 0)
 SELECT g AS graph_id, u, v, round(sum(CASE WHEN ru + rv = 0 THEN q ELSE 0 END), 9) AS neither, round(sum(CASE WHEN ru = 1 AND rv = 0 THEN q ELSE 0 END), 9) AS only_u, round(sum(CASE WHEN ru = 0 AND rv = 1 THEN q ELSE 0 END), 9) AS only_v, round(sum(CASE WHEN ru + rv = 2 THEN q ELSE 0 END), 9) AS both_ends FROM k GROUP BY g, u, v""")
 def k5_edges_rel(spark, sf_dir):
     """Which ends of an edge the source reaches without that edge."""
-    _, edges, s = _states(spark, sf_dir)
-    k = s.withColumnRenamed("prob", "state_prob").join(edges, "graph_id").where("(shiftright(state, int(edge_id)) & 1L) = 0")
-    k = k.select("graph_id", "u", "v", (F.col("state_prob") / F.col("prob")).alias("q"), F.expr("shiftright(reach, int(u)) & 1L").alias("ru"), F.expr("shiftright(reach, int(v)) & 1L").alias("rv"))
-    share = lambda ru, rv: r(F.sum(F.when((F.col("ru") == ru) & (F.col("rv") == rv), F.col("q")).otherwise(0.0)))
-    return k.groupBy("graph_id", "u", "v").agg(share(0, 0).alias("neither"), share(1, 0).alias("only_u"), share(0, 1).alias("only_v"), share(1, 1).alias("both_ends"))
+    return reliability.edges_rel(*region_edges(spark, sf_dir)).select("graph_id", "u", "v", *[r(c).alias(c) for c in ("neither", "only_u", "only_v", "both_ends")])
 
 
 @query(f"WITH {STATES} x AS (SELECT 1) SELECT m4.g AS graph_id, i AS node, round(sum(CASE WHEN (mask >> i) & 1 = 0 THEN prob ELSE 0 END), 9) AS q FROM m4 JOIN pr USING (g, state) JOIN idx ON idx.g = m4.g WHERE st = 0 GROUP BY m4.g, i")

@@ -1,10 +1,12 @@
 """Operators do the whole of their job: no limit on moves, edges, nodes or renames."""
 
+import itertools
+import random
 from collections import Counter
 
 import pytest
 
-from gridloom.operators import simulation
+from gridloom.operators import reliability, simulation
 from gridloom.plans import reference
 
 
@@ -49,3 +51,64 @@ def test_simulation_keeps_graphs_without_events(spark):
     edges = spark.createDataFrame([(1, 0, 0, 1, 0.0)], RING)
     nodes = spark.createDataFrame([(1, 0, 1.0), (1, 1, 1.0)], "graph_id bigint, node bigint, weight double")
     assert [tuple(r) for r in simulation.simulate(nodes, edges, 10.0, 0.5).collect()] == [(1, 0.0, 10.0, 0.0)]
+
+
+def link(pairs, nodes):
+    root = {n: {n} for n in nodes}
+    for a, b in pairs:
+        if root[a] is not root[b]:
+            whole = root[a] | root[b]
+            for n in whole:
+                root[n] = whole
+    return root
+
+
+def enumerated(nodes, edges, weights):
+    """SAIDI, disconnection, pairwise loss and ends of the edges, by all states; node 0 is the source."""
+    saidi = apart = loss = 0.0
+    ends = [[0.0] * 4 for _ in edges]
+    pairs = list(itertools.combinations(nodes, 2))
+    total = sum(weights[n] for n in nodes if n)
+    for state in itertools.product([0, 1], repeat=len(edges)):
+        q = 1.0
+        for up, (_, _, p) in zip(state, edges, strict=True):
+            q *= 1 - p if up else p
+        if not q:
+            continue
+        root = link([e[:2] for up, e in zip(state, edges, strict=True) if up], nodes)
+        saidi += q * sum(weights[n] for n in nodes if n not in root[0]) / total
+        apart += q * (len(root[0]) < len(nodes))
+        loss += q * sum(b not in root[a] for a, b in pairs) / len(pairs)
+        for k, (u, v, p) in enumerate(edges):
+            if not state[k]:
+                ends[k][(u in root[0]) + 2 * (v in root[0])] += q / p
+    return saidi, apart, loss, ends
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_kernel_of_whole_graphs_against_all_states(seed):
+    rng = random.Random(seed)
+    nodes = list(range(6))
+    edges = [(rng.randrange(6), rng.randrange(6), rng.choice([0.1, 0.35, 0.8, 1.0])) for _ in range(9)]
+    _, apart, loss, ends = enumerated(nodes, edges, dict.fromkeys(nodes, 1.0))
+    assert reliability.whole_graph(nodes, edges) == pytest.approx((apart, loss), abs=1e-12)
+    for got, want in zip(reliability.edge_ends(nodes, edges, 0), ends, strict=True):
+        assert got == pytest.approx(tuple(want), abs=1e-12)
+
+
+def test_indexes_of_graphs_of_over_16_edges(spark):
+    rng = random.Random(1)
+    graphs = {1: [(a, b, rng.choice([0.1, 0.3])) for a, b in itertools.combinations(range(4), 2)]}
+    graphs[2] = [(a, b, rng.choice([0.1, 0.4])) for a, b in itertools.combinations(range(7), 2)][:17]  # 17 edges
+    weights = {g: {n: n + 1.0 for n in range(size)} for g, size in ((1, 4), (2, 7))}
+    nodes = spark.createDataFrame([(g, n, w, n == 0) for g, ws in weights.items() for n, w in ws.items()], "graph_id bigint, node bigint, weight double, is_source boolean")
+    edges = spark.createDataFrame([(g, i, u, v, p) for g, es in graphs.items() for i, (u, v, p) in enumerate(es)], RING)
+    saidi, apart, loss = ({r.graph_id: r[1] for r in f(nodes, edges).collect()} for f in (reliability.saidi_exact, reliability.all_terminal, reliability.pairwise))
+    ends = {(r.graph_id, r.edge_id): tuple(r)[4:] for r in reliability.edges_rel(nodes, edges).collect()}
+    for g, es in graphs.items():
+        want = enumerated(list(weights[g]), es, weights[g])
+        assert (saidi[g], apart[g], loss[g]) == pytest.approx(want[:3], abs=1e-9)
+        for k, e in enumerate(want[3]):
+            assert ends[g, k] == pytest.approx(tuple(e), abs=1e-9)
+    with pytest.raises(Exception, match="more than 16 edges"):
+        reliability.states(edges).collect()
