@@ -247,21 +247,24 @@ def changes(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 RUN_COLUMNS = {"graph": "string", "sources": "array<bigint>", "n": "bigint", "p": "array<double>", "rho": "double", "trial": "bigint", "saidi": "double"}
 
 
-def aliases(moved: DataFrame, targets: list[str], hops: int = 4) -> DataFrame:
+def aliases(moved: DataFrame, targets: list[str]) -> DataFrame:
     """``path, target``: the column each field name stands for, following renames in both directions.
 
-    The nearest target wins, then the one with the most renames, then the first by name.
+    The nearest target wins, then the one with the most renames, then the first by name. Renames are followed until a round finds no new name.
     """
     spark = moved.sparkSession
     links = moved.select(F.col("old_path").alias("a"), F.col("new_path").alias("b"))
     links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
     links = cut(links)
     known = spark.createDataFrame([(t, t) for t in targets], "path string, target string")
-    for _ in range(hops):
-        reached = links.join(known, F.col("a") == F.col("path")).groupBy("b", "target").agg(F.sum("n").alias("n"))
+    latest = known
+    while True:
+        reached = links.join(latest, F.col("a") == F.col("path")).groupBy("b", "target").agg(F.sum("n").alias("n"))
         best = reached.groupBy(F.col("b").alias("path")).agg(F.max_by("target", F.struct(F.col("n"), F.col("target"))).alias("target"))
-        known = cut(known.unionByName(best.join(known, "path", "left_anti")))
-    return known
+        latest = cut(best.join(known, "path", "left_anti"))
+        if latest.isEmpty():
+            return known
+        known = cut(known.unionByName(latest))
 
 
 def _typed(value: Column, kind: str) -> Column:

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from gridloom.operators import reliability, simulation
+from gridloom.operators import reliability, schema_drift, simulation
 from gridloom.plans import reference
 
 
@@ -112,3 +112,10 @@ def test_indexes_of_graphs_of_over_16_edges(spark):
             assert ends[g, k] == pytest.approx(tuple(e), abs=1e-9)
     with pytest.raises(Exception, match="more than 16 edges"):
         reliability.states(edges).collect()
+
+
+def test_chains_of_renames_of_any_length(spark):
+    names = ["saidi", *(f"name{k}" for k in range(9))]
+    moved = spark.createDataFrame(list(zip(names, names[1:])) + [("other", "another")], "old_path string, new_path string")
+    got = {r.path: r.target for r in schema_drift.aliases(moved, ["saidi", "n"]).collect()}
+    assert got == dict.fromkeys(names, "saidi") | {"n": "n"}
