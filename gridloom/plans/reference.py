@@ -216,9 +216,9 @@ def exact_over_p(spark, sf_dir):
 
 @query()
 def exact_polynomial(spark, sf_dir):
-    """Coefficients in p of each node's probability, failures of more than four edges left out."""
+    """Coefficients in p of each node's probability, all powers."""
     nodes, edges = region_edges(spark, sf_dir)
-    return reliability.exact(nodes, edges, polynomial=True, max_fail=4).select("graph_id", "node", F.posexplode("q").alias("power", "coef"))
+    return reliability.exact(nodes, edges, polynomial=True).select("graph_id", "node", F.posexplode("q").alias("power", "coef"))
 
 
 # --- graphs ----------------------------------------------------------------------------------

@@ -114,6 +114,14 @@ def test_indexes_of_graphs_of_over_16_edges(spark):
         reliability.states(edges).collect()
 
 
+def test_polynomials_have_all_powers(spark, small):
+    got = reference.exact_polynomial(spark, small).collect()
+    assert max(r.power for r in got) == 10
+    for row in reference.exact_over_p(spark, small).collect():
+        value = sum(r.coef * row.p**r.power for r in got if (r.graph_id, r.node) == (row.graph_id, row.node))
+        assert value == pytest.approx(row.q, abs=2e-9)
+
+
 def test_chains_of_renames_of_any_length(spark):
     names = ["saidi", *(f"name{k}" for k in range(9))]
     moved = spark.createDataFrame(list(zip(names, names[1:])) + [("other", "another")], "old_path string, new_path string")
