@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geo, prob
 from gridloom.operators import analysis, design, graphs, reliability, simulation
-from gridloom.session import table
+from gridloom.session import cut, table
 from gridloom.streaming import windows
 
 QUERIES: dict = {}
@@ -709,6 +709,45 @@ def partition_project(spark, sf_dir):
     return cut.groupBy("graph_id", "part").agg(F.sum("q").alias("q")).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
 
 
+def _edge_partitions(spark, sf_dir) -> DataFrame:
+    """Every edge of each region as a partition table: its two ends linked, or nothing."""
+    _, e = region_edges(spark, sf_dir)
+    mask = F.expr("shiftleft(1L, int(u)) | shiftleft(1L, int(v))")
+    both = F.array(F.struct(F.array(mask).alias("part"), (1 - F.col("prob")).alias("q")), F.struct(F.array().cast("array<bigint>").alias("part"), F.col("prob").alias("q")))
+    return cut(e.select("graph_id", F.col("edge_id").alias("k"), F.inline(both)))
+
+
+def _whole_product(spark, sf_dir) -> DataFrame:
+    """The partitions of each region's whole graph, one edge after the other."""
+    t = _edge_partitions(spark, sf_dir)
+    whole = t.where("k = 0").select("graph_id", "part", "q")
+    for k in range(1, (t.agg(F.max("k")).first()[0] or 0) + 1):
+        following = t.where(F.col("k") == k).select("graph_id", F.col("part").alias("p2"), F.col("q").alias("q2"))
+        none = F.array().cast("array<bigint>")
+        merged = whole.join(following, "graph_id", "left").select("graph_id", prob.blocks_merge(F.col("part"), F.coalesce("p2", none)).alias("part"), (F.col("q") * F.coalesce("q2", F.lit(1.0))).alias("q"))
+        whole = merged.groupBy("graph_id", "part").agg(F.sum("q").alias("q"))
+    return cut(whole)
+
+
+PARTITIONS = f"""WITH {STATES} b AS (SELECT DISTINCT g, state, mask FROM m4 WHERE bit_count(mask) > 1), n AS (SELECT g, 1 | (1 << max(i)) AS ends FROM idx GROUP BY g),
+pa AS (SELECT s.g, s.state, coalesce(string_agg(CAST(mask AS VARCHAR), ',' ORDER BY mask), '') AS part, coalesce(bool_or(mask & ends = ends), false) AS linked, any_value(ends) AS ends FROM s JOIN n USING (g) LEFT JOIN b ON b.g = s.g AND b.state = s.state GROUP BY s.g, s.state)"""
+
+
+@query(f"{PARTITIONS} SELECT g AS graph_id, part, round(sum(prob), 9) AS q FROM pa JOIN pr USING (g, state) GROUP BY g, part")
+def partition_product_whole(spark, sf_dir):
+    """The partitions of all nations of a region by all its edges."""
+    return _whole_product(spark, sf_dir).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
+
+
+@query(f"{PARTITIONS} SELECT g AS graph_id, CASE WHEN linked THEN CAST(ends AS VARCHAR) ELSE '' END AS part, round(sum(prob), 9) AS q FROM pa JOIN pr USING (g, state) GROUP BY 1, 2")
+def partition_project_whole(spark, sf_dir):
+    """The whole graph's partitions cut down to its first and last node."""
+    nodes, _ = region_edges(spark, sf_dir)
+    ends = nodes.groupBy("graph_id").agg(F.expr("1L | shiftleft(1L, int(max(node)))").alias("ends"))
+    both = _whole_product(spark, sf_dir).join(ends, "graph_id").select("graph_id", prob.blocks_project(F.col("part"), F.col("ends")).alias("part"), "q")
+    return both.groupBy("graph_id", "part").agg(F.sum("q").alias("q")).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
+
+
 # --- cells, text, unions, streams ----------------------------------------------------------------
 
 

@@ -127,3 +127,8 @@ def test_chains_of_renames_of_any_length(spark):
     moved = spark.createDataFrame(list(zip(names, names[1:])) + [("other", "another")], "old_path string, new_path string")
     got = {r.path: r.target for r in schema_drift.aliases(moved, ["saidi", "n"]).collect()}
     assert got == dict.fromkeys(names, "saidi") | {"n": "n"}
+
+
+def test_partitions_of_whole_regions(spark, small):
+    size = Counter(r.graph_id for r in reference.partition_product_whole(spark, small).collect())
+    assert size == dict.fromkeys(range(5), 52)  # all partitions of five nodes
