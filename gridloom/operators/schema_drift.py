@@ -1,18 +1,23 @@
 """Schemas that drift between files (problem 2).
 
-Lines of JSON files are loaded as path-value entries with raw types, path-type
+Lines of JSON files are loaded as maps from path to value with raw types, path-type
 statistics are aggregated per file, consecutive files of a stream are compared,
 and the runs come out as one typed table with the casts that failed.
 
+Parsing, kinds, statistics and typed columns stay in the JVM (variants). Python sees two things only:
+the lines that the variant parser refuses (a repeated key, a number that is not finite; the last of repeated
+keys holds), and the values of fields that end or begin with a file, which are brought to one form to be compared.
+
 Defined results for odd input:
 
 * null, blank, cut-off lines and lines that are no JSON object give no entries,
   but their file still takes its place in the stream;
 * ``null`` and ``[]`` are no values; null elements of an array have no kind;
-* a run without ``run_id`` counts for fields and kinds, not for renames;
+* a run without ``run_id`` counts for fields and kinds, not for renames or the table of runs;
 * repeated lines change nothing; of a run written differently twice in one file,
-  every version must agree for a rename;
+  every version must agree for a rename, and the later line holds in the table of runs;
 * files written at the same moment follow each other by ``file_id``;
+* numbers that are not finite count as numbers and as equal; a whole number of over 38 digits counts as its double;
 * an empty table gives empty results; extra columns are not read.
 """
 
@@ -24,6 +29,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +40,9 @@ _ID = re.compile(r"[A-Za-z]?(-?\d+)\Z")
 _LIST = re.compile(r"\s*[;,|]\s*")
 
 
+# --- one form of a value, for comparison only ------------------------------------
+
+
 def kind_of(value: object) -> str | None:
     """Raw type of a JSON value; an array carries the set of its elements' kinds."""
     if value is None or value == []:
@@ -64,7 +73,7 @@ def _graph(nodes: list, edges: list) -> dict:
 
 
 def content_of(value: object) -> object:
-    """One form for the forms in which the same content is written.
+    """One form for the forms in which the same content is written; it is compared, never stored as the value.
 
     Numbers as text, JSON as text, lists of ids as text or as the keys of an
     object, single values in lists, and graphs as cell or as pair of lists.
@@ -116,66 +125,114 @@ def canonical(value: object) -> str:
     return json.dumps(content_of(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-PATHS = pa.schema(
-    [("stream_id", pa.int64()), ("file_id", pa.int64()), ("line_no", pa.int64()), ("run_id", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("digest", pa.binary()), ("value", pa.string())]
-)
-_PATHS_DDL = "stream_id bigint, file_id bigint, line_no bigint, run_id string, path string, kind string, digest binary, value string"
-
-
-def _surrogates_out(text: str) -> str:
-    return text.encode("utf-8", "replace").decode()
-
-
-def _parse(with_values: bool, run_field: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in PATHS]
-            held = 0
-            for stream, file, line, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if body is None:
-                    continue
-                try:
-                    record = json.loads(body)
-                except (ValueError, RecursionError):
-                    continue
-                if not isinstance(record, dict):
-                    continue
-                run_id = record.pop(run_field, None)
-                if run_id is not None:
-                    run_id = _surrogates_out(run_id if isinstance(run_id, str) else json.dumps(run_id))
-                for path, value in record.items():
-                    kind = kind_of(value)
-                    if kind is None:
-                        continue
-                    text = _surrogates_out(canonical(value))
-                    digest = hashlib.blake2b(text.encode(), digest_size=16).digest()
-                    for column, x in zip(columns, (stream, file, line, run_id, _surrogates_out(path), kind, digest, text if with_values else None), strict=True):
-                        column.append(x)
-                    held += len(text)
-                if held > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PATHS, strict=True)], schema=PATHS)
-                    columns, held = [[] for _ in PATHS], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PATHS, strict=True)], schema=PATHS)
-
-    return run
-
-
-def path_values(lines: DataFrame, run_field: str = "run_id", with_values: bool = False) -> DataFrame:
-    """An entry for each top-level field that holds a value: its raw kind and its content."""
-    rows = lines.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("line_no").cast("bigint"), F.col("body").cast("string"))
-    return rows.mapInArrow(_parse(with_values, run_field), _PATHS_DDL)
+def _digests(texts: pd.Series) -> pd.Series:
+    one = lambda t: hashlib.blake2b(canonical(json.loads(t)).encode("utf-8", "replace"), digest_size=16).digest()
+    return texts.map(one)
+
+
+# --- path-value maps ----------------------------------------------------------------
+
+_FIELDS = "map<string,variant>"
+#: Closes the list that a line is read in, so that text after the record is seen.
+_END = 8123749812374
+
+
+def _fields(body: str) -> Column:
+    """The record of a line as a map; null where the parser refuses the line, or where it is no object."""
+    whole = f"try_parse_json(concat('[', {body}, ',{_END}]'))"
+    return F.expr(f"transform(array({whole}), w -> case when try_variant_get(w, '$[1]', 'bigint') = {_END} and try_variant_get(w, '$[2]', 'string') is null then try_variant_get(w, '$[0]', '{_FIELDS}') end)[0]")
+
+
+def _base(schema: str) -> str:
+    numbers = " or ".join(f"{schema} like '{t}%'" for t in ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"))
+    return f"case when {numbers} then 'number' when {schema} like 'STRING%' then 'string' when {schema} like 'BOOLEAN%' then 'boolean' when {schema} like 'OBJECT%' then 'object' when {schema} like 'ARRAY%' then 'array' end"
+
+
+def _kind(value: str, schema: str) -> Column:
+    """As :func:`kind_of`, of a variant and its ``schema_of_variant``."""
+    items = f"cast({value} as array<variant>)"
+    mixed = f"array_join(array_sort(array_distinct(array_compact(transform({items}, x -> transform(array(schema_of_variant(x)), s -> {_base('s')})[0])))), ',')"
+    return F.expr(
+        f"case when {schema} = 'ARRAY<VOID>' then if(size({items}) = 0, null, 'array<>') when {schema} = 'ARRAY<VARIANT>' then concat('array<', {mixed}, '>') "
+        f"when {schema} like 'ARRAY<%' then concat('array<', {_base(f'substring({schema}, 7)')}, '>') else {_base(schema)} end"
+    )
+
+
+def _bare(lines: DataFrame) -> DataFrame:
+    return lines.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("line_no").cast("bigint"), F.col("body").cast("string")).where("trim(body) <> ''")
+
+
+def _plain(value: object) -> object:
+    """Numbers that are not finite as one that the variant parser takes."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return math.inf
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines that the variant parser refused, written anew where they are JSON objects for Python."""
+    for b in batches:
+        texts: list[str | None] = []
+        for body in b.column(3).to_pylist():
+            try:
+                record = json.loads(body)
+                texts.append(json.dumps(_plain(record)).replace("Infinity", "1e999") if isinstance(record, dict) else None)
+            except (ValueError, RecursionError):
+                texts.append(None)
+        yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], pa.array(texts, pa.string())], names=["stream_id", "file_id", "line_no", "body"])
+
+
+class Records:
+    """The lines as path-value maps, and what their fields are in each file.
+
+    One scan parses every line and aggregates ``stats``: ``stream_id, file_id, path, kinds, n_values``. Refused
+    lines come out of the same scan, so that only they pass through Python.
+    """
+
+    def __init__(self, lines: DataFrame, run_field: str = "run_id"):
+        self.lines, self.run_field = _bare(lines), run_field
+        counted = cut(self._kinds(self.lines, refused=True))
+        again = counted.where("path is null").select("stream_id", "file_id", "line_no", F.col("kind").alias("body"))
+        self.refused = cut(again.mapInArrow(_again, "stream_id bigint, file_id bigint, line_no bigint, body string").where("body is not null"))
+        known = counted.where("path is not null").select("stream_id", "file_id", "path", "kind", "n")
+        if not self.refused.isEmpty():
+            known = known.unionByName(self._kinds(self.refused, refused=False).select("stream_id", "file_id", "path", "kind", "n"))
+        self.stats = known.groupBy("stream_id", "file_id", "path").agg(F.concat_ws("|", F.array_sort(F.collect_set("kind"))).alias("kinds"), F.sum("n").alias("n_values"))
+
+    def _kinds(self, rows: DataFrame, refused: bool) -> DataFrame:
+        """``stream_id, file_id, line_no, path, kind, n``; a refused line has its text as kind, and no path."""
+        parsed = rows.withColumn("fields", _fields("body"))
+        each = parsed.select("stream_id", "file_id", "line_no", F.when(F.col("fields").isNull(), F.col("body")).alias("body"), F.explode_outer("fields").alias("path", "v"))
+        named = each.where((F.col("path") != self.run_field) | F.col("path").isNull()).withColumn("schema", F.schema_of_variant("v"))
+        kinds = named.select("stream_id", "file_id", F.when(F.col("path").isNull(), F.col("line_no")).alias("line_no"), "path", F.coalesce("body", _kind("v", "schema")).alias("kind"))
+        kinds = kinds.where("kind is not null" if refused else "kind is not null and path is not null")
+        return kinds.groupBy("stream_id", "file_id", "line_no", "path", "kind").agg(F.count("*").alias("n"))
+
+    def values(self, wanted: DataFrame | None = None) -> DataFrame:
+        """``stream_id, file_id, line_no, run_id, path, value``: each value as JSON text, of runs with an id.
+
+        With ``wanted`` (``stream_id, file_id, paths``) only those files' lines are parsed, and only those fields come out.
+        """
+        rows = self.lines if self.refused.isEmpty() else self.lines.unionByName(self.refused)
+        if wanted is not None:
+            rows = rows.join(wanted, ["stream_id", "file_id"])
+        run = f"fields['{self.run_field}']"
+        run_id = F.expr(f"case when schema_of_variant({run}) in ('STRING', 'VOID') then try_variant_get({run}, '$', 'string') else to_json({run}) end")
+        parsed = rows.withColumn("fields", _fields("body")).withColumn("run_id", run_id).where("run_id is not null")
+        held = F.col("fields") if wanted is None else F.map_filter("fields", lambda k, _: F.array_contains("paths", k))
+        each = parsed.select("stream_id", "file_id", "line_no", "run_id", F.explode(held).alias("path", "v"))
+        return each.where((F.col("path") != self.run_field) & (F.schema_of_variant("v") != "VOID")).withColumn("value", F.to_json("v")).drop("v").where("value <> '[]'")
 
 
 def file_order(lines: DataFrame) -> DataFrame:
     """``stream_id, file_id, seq``: the place of each file in its stream, from 1."""
-    files = lines.groupBy("stream_id", "file_id").agg(F.min("written_at").alias("written_at"))
+    files = lines.groupBy(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("file_id").cast("bigint").alias("file_id")).agg(F.min("written_at").alias("written_at"))
     return files.select("stream_id", "file_id", F.row_number().over(Window.partitionBy("stream_id").orderBy("written_at", "file_id")).alias("seq"))
 
 
-def path_statistics(paths: DataFrame) -> DataFrame:
-    """Per file and path: the set of kinds as text, and the number of values."""
-    per_kind = paths.groupBy("stream_id", "file_id", "path", "kind").agg(F.count("*").alias("n"))
-    return per_kind.groupBy("stream_id", "file_id", "path").agg(F.concat_ws("|", F.array_sort(F.collect_set("kind"))).alias("kinds"), F.sum("n").alias("n_values"))
+# --- changes from file to file ---------------------------------------------------------
 
 
 def _compare(stats: DataFrame, files: DataFrame) -> DataFrame:
@@ -197,34 +254,42 @@ def _compare(stats: DataFrame, files: DataFrame) -> DataFrame:
     return both.join(steps.where("prev_id is not null").select("stream_id", "file_id", "prev_id"), ["stream_id", "file_id"])
 
 
-def renames(paths: DataFrame, compared: DataFrame) -> DataFrame:
+def renames(records: Records, compared: DataFrame) -> DataFrame:
     """``stream_id, file_id, old_path, new_path``: ended and begun fields with the same content in all shared runs.
 
+    Only files with an ended and a begun field are read again, and only those fields.
     Candidates come from an equi-join on run and content, so no pairs of fields
     are enumerated; each is then held against all runs with values in both files.
     """
-    ended = compared.where("kinds is null").select("stream_id", F.col("file_id").alias("at"), F.col("prev_id").alias("file_id"), "path")
-    begun = compared.where("old_kinds is null").select("stream_id", "file_id", "path", F.col("file_id").alias("at"))
-    values = paths.where("run_id is not null").select("stream_id", "file_id", "run_id", "path", "digest")
-    old = values.join(ended, ["stream_id", "file_id", "path"]).select("stream_id", "at", "run_id", F.col("path").alias("old_path"), F.col("digest").alias("old_digest")).distinct()
-    new = values.join(begun, ["stream_id", "file_id", "path"]).select("stream_id", "at", "run_id", F.col("path").alias("new_path"), F.col("digest").alias("new_digest")).distinct()
-    alike = old.join(new.withColumnRenamed("new_digest", "old_digest"), ["stream_id", "at", "run_id", "old_digest"])
-    candidates = alike.select("stream_id", "at", "old_path", "new_path").distinct()
-    held = candidates.join(old, ["stream_id", "at", "old_path"]).join(new, ["stream_id", "at", "new_path", "run_id"])
-    agreed = held.groupBy("stream_id", "at", "old_path", "new_path").agg(F.bool_and(F.col("old_digest") == F.col("new_digest")).alias("same"))
+    ended, begun = F.col("kinds").isNull(), F.col("old_kinds").isNull()
+    moving = compared.where(ended | begun)
+    mixed = moving.groupBy("stream_id", "file_id").agg(F.bool_or(ended).alias("e"), F.bool_or(begun).alias("b")).where("e and b").select("stream_id", "file_id")
+    sides = cut(moving.join(mixed, ["stream_id", "file_id"]).select("stream_id", F.col("file_id").alias("at"), F.when(ended, F.col("prev_id")).otherwise(F.col("file_id")).alias("file_id"), "path", ended.alias("is_old")))
+    wanted = sides.groupBy("stream_id", "file_id").agg(F.collect_set("path").alias("paths"))
+    digest = F.pandas_udf(_digests, "binary")
+    values = records.values(wanted).select("stream_id", "file_id", "run_id", "path", digest("value").alias("digest"))
+    # one row for each step, run and field; a run written differently twice has two digests and agrees with none
+    sided = values.join(sides, ["stream_id", "file_id", "path"])
+    one = cut(sided.repartition("stream_id", "at", "run_id").groupBy("stream_id", "at", "run_id", "path", "is_old").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")))
+    versions = one.select("stream_id", "at", "run_id", "path", "is_old", F.explode(F.array_distinct(F.array("digest", "other"))).alias("digest"))
+    old, new = versions.where("is_old").drop("is_old").withColumnRenamed("path", "old_path"), versions.where("not is_old").drop("is_old").withColumnRenamed("path", "new_path")
+    candidates = old.join(new, ["stream_id", "at", "run_id", "digest"]).select("stream_id", "at", "old_path", "new_path").distinct()
+    side = lambda is_old, name, tail: one.where(F.col("is_old") == is_old).select("stream_id", "at", "run_id", F.col("path").alias(name), F.col("digest").alias(f"low{tail}"), F.col("other").alias(f"high{tail}"))
+    held = candidates.join(side(True, "old_path", 1), ["stream_id", "at", "old_path"]).join(side(False, "new_path", 2), ["stream_id", "at", "new_path", "run_id"])
+    same = (F.col("low1") == F.col("low2")) & (F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2"))
+    agreed = held.groupBy("stream_id", "at", "old_path", "new_path").agg(F.bool_and(same).alias("same"))
     return agreed.where("same").select("stream_id", F.col("at").alias("file_id"), "old_path", "new_path")
 
 
-def changes(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def changes(lines: DataFrame) -> DataFrame:
     """The report: ``stream_id, file_id, field, change, old_field, old_kinds, kinds``.
 
     ``change`` is ``added``, ``removed``, ``renamed`` or ``retyped``; a field can
     be renamed and retyped by the same file.
     """
-    paths = cut(path_values(lines)) if paths is None else paths
-    compared = _compare(path_statistics(paths), file_order(lines))
-    compared = cut(compared)
-    moved = cut(renames(paths, compared))
+    records = Records(lines)
+    compared = cut(_compare(records.stats, file_order(lines)))
+    moved = cut(renames(records, compared))
     to_old = moved.groupBy("stream_id", "file_id", F.col("new_path").alias("path")).agg(F.min("old_path").alias("old_path"))
     gone = moved.select("stream_id", "file_id", F.col("old_path").alias("path")).distinct()
     none = F.lit(None).cast("string")
@@ -243,57 +308,135 @@ def changes(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     )
 
 
-#: The consistent table of runs: column, type, and the names the field is known by from the start.
-RUN_COLUMNS = {"graph": "string", "sources": "array<bigint>", "n": "bigint", "p": "array<double>", "rho": "double", "trial": "bigint", "saidi": "double"}
+# --- the consistent table of runs --------------------------------------------------------
 
+#: Columns of the table of runs and their kinds; besides SQL types, ``graph`` (a cell in one form) and ``ids`` (a list of whole numbers).
+RUN_COLUMNS = {"graph": "graph", "sources": "ids", "n": "bigint", "p": "array<double>", "rho": "double", "trial": "bigint", "saidi": "double"}
 
-def aliases(moved: DataFrame, targets: list[str]) -> DataFrame:
-    """``path, target``: the column each field name stands for, following renames in both directions.
 
-    The nearest target wins, then the one with the most renames, then the first by name. Renames are followed until a round finds no new name.
+def _alike(name: Column) -> Column:
+    """A name without letter case, marks and plural."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]", ""), "(?<=..)s$", "")
+
+
+def aliases(moved: DataFrame, names: DataFrame, targets: list[str], match_names: bool = True, agreed_elsewhere: bool = False) -> DataFrame:
+    """``stream_id, path, target``: the column that each field name of a stream stands for.
+
+    ``moved`` (``stream_id, old_path, new_path``) are the stream's renames, ``names`` (``stream_id, path``) its fields. A column's own
+    name stands for it, with ``match_names`` also names that differ in letter case, marks or plural only; renames of
+    the same stream are followed from there in both directions until a round finds no new name. The nearest
+    column wins, then the one with the most renames, then the last by name.
+
+    With ``agreed_elsewhere``, a name without meaning in its own stream takes the one that renames gave it in
+    other streams, if all of those agree.
     """
     spark = moved.sparkSession
-    links = moved.select(F.col("old_path").alias("a"), F.col("new_path").alias("b"))
-    links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
-    links = cut(links)
-    known = spark.createDataFrame([(t, t) for t in targets], "path string, target string")
-    latest = known
+    links = moved.select("stream_id", F.col("old_path").alias("a"), F.col("new_path").alias("b"))
+    links = cut(links.unionByName(links.select("stream_id", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("stream_id", "a", "b").agg(F.count("*").alias("n")))
+    wanted = F.broadcast(spark.createDataFrame([(t,) for t in targets], "target string"))
+    fields = names.select("stream_id", "path").distinct()
+    exact = fields.join(wanted, F.col("path") == F.col("target")).select("stream_id", "path", "target")
+    if match_names:
+        near = fields.join(wanted, (_alike(F.col("path")) == _alike(F.col("target")))).groupBy("stream_id", "path").agg(F.min("target").alias("target"))
+        exact = exact.unionByName(near.join(exact, ["stream_id", "path"], "left_anti"))
+    known = latest = cut(exact)
     while True:
-        reached = links.join(latest, F.col("a") == F.col("path")).groupBy("b", "target").agg(F.sum("n").alias("n"))
-        best = reached.groupBy(F.col("b").alias("path")).agg(F.max_by("target", F.struct(F.col("n"), F.col("target"))).alias("target"))
-        latest = cut(best.join(known, "path", "left_anti"))
+        reached = links.join(latest.withColumnRenamed("path", "a"), ["stream_id", "a"]).groupBy("stream_id", "b", "target").agg(F.sum("n").alias("n"))
+        best = reached.groupBy("stream_id", F.col("b").alias("path")).agg(F.max_by("target", F.struct(F.col("n"), F.col("target"))).alias("target"))
+        latest = cut(best.join(known, ["stream_id", "path"], "left_anti"))
         if latest.isEmpty():
-            return known
+            break
         known = cut(known.unionByName(latest))
-
-
-def _typed(value: Column, kind: str) -> Column:
+    if agreed_elsewhere:
+        agreed = known.groupBy("path").agg(F.min("target").alias("target"), F.max("target").alias("other")).where("target = other").drop("other")
+        known = known.unionByName(fields.join(known, ["stream_id", "path"], "left_anti").join(agreed, "path").select("stream_id", "path", "target"))
+    return known
+
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _opened(v: str) -> str:
+    """A variant whose text is again JSON, opened (over two wrappings)."""
+    once = lambda x: f"(case when schema_of_variant({x}) = 'STRING' and ltrim(try_variant_get({x}, '$', 'string')) rlike '^[\\\\[{{\"]' then coalesce(try_parse_json(try_variant_get({x}, '$', 'string')), {x}) else {x} end)"
+    return _let(once(v), "o1", once("o1"))
+
+
+def _scalar(v: str, kind: str) -> str:
+    """A number (or other SQL type) from a variant; null where that would change it, as for 4.7 as a whole number or ``true`` as a number."""
+    typed, text = f"try_variant_get({v}, '$', '{kind}')", f"trim(try_variant_get({v}, '$', 'string'))"
+    if kind in ("string", "boolean"):
+        return typed
+    typed = f"if(schema_of_variant({v}) = 'STRING', try_cast({text} as {kind}), {typed})"
+    exact = f"cast({typed} as double) = try_cast({text} as double)" if kind in ("bigint", "int") else "true"
+    return f"case when schema_of_variant({v}) <> 'BOOLEAN' and {exact} then {typed} end"
+
+
+def _items(v: str, ids: bool) -> str:
+    """The elements of a list, of text that lists them, or of an object whose keys they are (``{"4": 1}``, in order of number)."""
+    text = f"try_variant_get({v}, '$', 'string')"
+    split = f"transform(split(trim({text}), '\\\\s*[;,|]\\\\s*'), z -> cast(z as variant))"
+    keys = f"map_keys(cast({v} as {_FIELDS}))"
+    key_number = lambda k: f"try_cast(regexp_extract({k}, '^[A-Za-z]?(-?[0-9]+)$', 1) as bigint)"
+    listed = f"transform(array_sort({keys}, (l, r) -> int(sign({key_number('l')} - {key_number('r')}))), z -> cast(z as variant))"
+    by_object = f"when schema_of_variant({v}) like 'OBJECT%' and forall({keys}, k -> {key_number('k')} is not null) then {listed}" if ids else ""
+    return f"case when schema_of_variant({v}) like 'ARRAY%' then cast({v} as array<variant>) when schema_of_variant({v}) = 'STRING' then {split} {by_object} else array({v}) end"
+
+
+def _typed(raw: str, kind: str) -> tuple[Column, Column]:
+    """``(value, failed)`` of the JSON text in column ``raw``."""
+    opened = _let(f"try_parse_json({raw})", "v0", _opened("v0"))
+    if kind == "graph":
+        # the cell, its members alone, or a pair of lists
+        lists = lambda c: f"case when try_variant_get({c}, '$.nodes', 'array<variant>') is not null and try_variant_get({c}, '$.edges', 'array<variant>') is not null then named_struct('n', try_variant_get({c}, '$.nodes', 'variant'), 'e', try_variant_get({c}, '$.edges', 'variant')) end"
+        inner = _let("try_variant_get(v, '$.graph', 'variant')", "g0", _let(_opened("g0"), "g", lists("g")))
+        pair = "case when try_variant_get(v, '$[0]', 'array<variant>') is not null and try_variant_get(v, '$[1]', 'array<variant>') is not null and try_variant_get(v, '$[2]', 'variant') is null then named_struct('n', try_variant_get(v, '$[0]', 'variant'), 'e', try_variant_get(v, '$[1]', 'variant')) end"
+        cell = "concat('{\"type\":', coalesce(to_json(try_variant_get(v, '$.type', 'variant')), '\"Graph\"'), ',\"graph\":{\"nodes\":', to_json(c.n), ',\"edges\":', to_json(c.e), '}}')"
+        value = F.expr(_let(opened, "v", _let(f"coalesce({inner}, {lists('v')}, {pair})", "c", f"case when c is not null then {cell} end")))
+        return value, value.isNull()
+    if kind == "ids" or kind.startswith("array<"):
+        element = "bigint" if kind == "ids" else kind[6:-1]
+        plain = "z" if kind != "ids" else "case when schema_of_variant(z) = 'STRING' then cast(regexp_replace(trim(try_variant_get(z, '$', 'string')), '^[A-Za-z](?=-?[0-9]+$)', '') as variant) else z end"
+        one = f"named_struct('x', {_let(plain, 'y', _scalar('y', element))}, 'bad', not is_variant_null(z))"
+        pairs = _let(opened, "v", f"transform({_items('v', kind == 'ids')}, z -> {one})")
+        value = F.expr(_let(pairs, "q", "transform(q, z -> z.x)"))
+        failed = F.expr(_let(pairs, "q", "q is null or exists(q, z -> z.bad and z.x is null)"))
+        return value, failed
     if kind == "string":
-        return value
-    if kind.startswith("array<"):
-        listed = F.when(value.startswith("["), value).otherwise(F.concat(F.lit("["), value, F.lit("]")))
-        return F.from_json(listed, kind, {"mode": "PERMISSIVE"})
-    return value.try_cast(kind)
+        value = F.expr(f"case when {raw} like '\"%' then try_variant_get(try_parse_json({raw}), '$', 'string') else {raw} end")
+        return value, value.isNull()
+    single = "case when schema_of_variant(v) like 'ARRAY%' and size(cast(v as array<variant>)) = 1 then try_variant_get(v, '$[0]', 'variant') else v end"
+    value = F.expr(_let(opened, "v", _let(single, "y", _scalar("y", kind))))
+    return value, value.isNull()
 
 
-def runs(lines: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """One row per stream and run: typed columns, ``extras`` by field name, and the fields whose cast failed.
+def runs(lines: DataFrame, columns: dict[str, str] | None = None, match_names: bool = True, agreed_elsewhere: bool = False) -> DataFrame:
+    """One row per stream and run: typed columns, ``extras`` by field name, and the casts that failed.
 
-    Of the values that a run has in several files, the one of the last file holds.
+    Of the values that a run has in several files, the one of the last file holds, there of the last line, of several names for one column
+    the column's own. Values keep their order and text: ``extras`` has JSON text, a text column the text itself; a graph comes
+    out as a cell whatever its form, ids from a list, from text or from the keys of an object, single values as
+    lists where the column is one. ``failed`` has ``field, value, target``: the name as written, the JSON text and the kind of column.
     """
     columns = columns or RUN_COLUMNS
-    paths = cut(path_values(lines, with_values=True))
-    files = file_order(lines)
-    compared = cut(_compare(path_statistics(paths), files))
-    known = aliases(cut(renames(paths, compared)), list(columns))
-    named = paths.where("run_id is not null").join(files, ["stream_id", "file_id"]).join(known, "path", "left")
-    last = named.groupBy("stream_id", "run_id", F.coalesce("target", "path").alias("field"), F.col("target").isNotNull().alias("typed")).agg(
-        F.max_by("value", F.struct("seq", "line_no", "value")).alias("value")
-    )
+    records = Records(lines)
+    files = cut(file_order(lines))
+    stats = cut(records.stats)
+    compared = cut(_compare(stats, files))
+    known = aliases(cut(renames(records, compared)), stats, list(columns), match_names, agreed_elsewhere)
+    named = records.values().join(files, ["stream_id", "file_id"]).join(known, ["stream_id", "path"], "left")
+    place = F.struct("seq", "line_no", (F.col("path") == F.col("target")).alias("own"), "path", "value")
+    last = named.groupBy("stream_id", "run_id", F.coalesce("target", "path").alias("field"), F.col("target").isNotNull().alias("typed")).agg(F.max(place).alias("m"))
+    is_column = lambda c: F.col("typed") & (F.col("field") == c)
     wide = last.groupBy("stream_id", "run_id").agg(
-        *[F.max(F.when(F.col("typed") & (F.col("field") == c), F.col("value"))).alias(f"raw_{c}") for c in columns],
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("typed"), F.struct("field", "value"))))).alias("extras"),
+        *[F.max(F.when(is_column(c), F.struct("m.value", "m.path"))).alias(f"raw_{c}") for c in columns],
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("typed"), F.struct("field", "m.value"))))).alias("extras"),
     )
-    typed = {c: _typed(F.col(f"raw_{c}"), kind) for c, kind in columns.items()}
-    failed = F.array_compact(F.array(*[F.when(F.col(f"raw_{c}").isNotNull() & (typed[c].isNull() if not columns[c].startswith("array<") else (typed[c].isNull() | F.exists(typed[c], lambda x: x.isNull()))), F.lit(c)) for c in columns]))
-    return wide.select("stream_id", "run_id", *[v.alias(c) for c, v in typed.items()], "extras", failed.alias("failed"))
+    out, failed = [], []
+    for c, kind in columns.items():
+        value, bad = _typed(f"`raw_{c}`.value", kind)
+        there = F.col(f"raw_{c}").isNotNull()
+        out.append(F.when(there, value).alias(c))
+        failed.append(F.when(there & bad, F.struct(F.col(f"raw_{c}.path").alias("field"), F.col(f"raw_{c}.value").alias("value"), F.lit(kind).alias("target"))))
+    return wide.select("stream_id", "run_id", *out, "extras", F.array_compact(F.array(*failed)).alias("failed"))

@@ -116,7 +116,69 @@ def test_runs_table(spark):
     row = sd.runs(lines(spark, [(1, 1, 0, a), (1, 2, 1, b)])).collect()
     assert len(row) == 1
     assert row[0].sources == [1, 3] and row[0].n == 4 and row[0].p == [0.5] and row[0].rho is None
-    assert row[0].failed == ["rho"] and row[0].extras == {"extra": '{"a":1}'}
+    assert [tuple(x) for x in row[0].failed] == [("rho", '"bad"', "double")] and row[0].extras == {"extra": '{"a":1}'}
+
+
+def test_values_keep_order_and_text(spark):
+    body = {"run_id": "r1", "p": [1.0, 0.0], "name": "A12", "code": "007", "label": "neta", "SAIDI": "0.5", "source": [3, 1], "odd": [2, 1]}
+    columns = sd.RUN_COLUMNS | {"name": "string", "code": "string", "label": "string", "odd": "string"}
+    row = sd.runs(lines(spark, [(1, 1, 0, [body])]), columns).first()
+    assert (row.p, row.name, row.code, row.label, row.saidi, row.sources, row.odd) == ([1.0, 0.0], "A12", "007", "neta", 0.5, [3, 1], "[2,1]")
+    assert row.extras == {} and row.failed == []
+
+
+@pytest.mark.parametrize(
+    ("field", "value", "want"),
+    [
+        ("sources", "n5", [5]), ("sources", "4; 1", [4, 1]), ("sources", {"10": 1, "9": 1}, [9, 10]), ("sources", 7, [7]), ("sources", ["n3", None, 2], [3, None, 2]), ("sources", "[2,1]", [2, 1]),
+        ("p", "0.25", [0.25]), ("p", 1e-5, [1e-5]), ("n", [8], 8), ("n", " 8 ", 8), ("n", 8.0, 8), ("rho", "1e-3", 0.001), ("trial", 9007199254740993, 9007199254740993),
+    ],
+)
+def test_forms_of_a_column(spark, field, value, want):
+    row = sd.runs(lines(spark, [(1, 1, 0, [{"run_id": "r", field: value}])])).first()
+    assert row[field] == want and row.failed == []
+
+
+@pytest.mark.parametrize(("field", "value"), [("n", 4.7), ("n", True), ("n", [1, 2]), ("n", {"a": 1}), ("sources", ["x", 1]), ("sources", {"a": 1}), ("p", [0.5, "bad"]), ("graph", [1, 2]), ("graph", "plain"), ("saidi", "1.2.3")])
+def test_failed_casts_are_reported(spark, field, value):
+    row = sd.runs(lines(spark, [(1, 1, 0, [{"run_id": "r", field: value}])])).first()
+    assert [(x.field, json.loads(x.value), x.target) for x in row.failed] == [(field, value, sd.RUN_COLUMNS[field])]
+
+
+def test_graphs_in_one_form(spark):
+    nodes, edges = [[0, {}], [1, {"pos": [2.5, -1.25]}]], [[[1, 0], {}]]
+    cell = {"type": "Graph", "graph": {"nodes": nodes, "edges": edges, "graph": []}}
+    forms = [cell, json.dumps(cell), json.dumps(json.dumps(cell)), [nodes, edges], {"nodes": nodes, "edges": edges}, {"type": "Graph", "graph": json.dumps({"nodes": nodes, "edges": edges})}]
+    got = sd.runs(lines(spark, [(1, 1, 0, [{"run_id": f"r{i}", "graph": g} for i, g in enumerate(forms)])])).collect()
+    assert len(got) == len(forms) and all(json.loads(r.graph) == {"type": "Graph", "graph": {"nodes": nodes, "edges": edges}} for r in got)
+
+
+def test_renames_hold_for_their_stream_only(spark):
+    a, b = [{"run_id": "r1", "saidi": 0.5}], [{"run_id": "r1", "f": 0.5}]
+    other = [{"run_id": "q1", "f": 9}]
+    files = [(1, 1, 0, a), (1, 2, 1, b), (2, 3, 0, other)]
+    got = {r.run_id: r for r in sd.runs(lines(spark, files)).collect()}
+    assert got["r1"].saidi == 0.5 and got["q1"].saidi is None and got["q1"].extras == {"f": "9"}
+    agreed = {r.run_id: r for r in sd.runs(lines(spark, files), agreed_elsewhere=True).collect()}
+    assert agreed["q1"].saidi == 9.0
+
+
+def test_a_chain_of_six_renames(spark):
+    names = ["graph", *"abcdef"]
+    files = [(1, k, k, [{"run_id": "r1", n: [[[0, {}]], []]}, {"run_id": f"s{k}", n: [[[k, {}]], []]}]) for k, n in enumerate(names)]
+    got = {r.run_id: r for r in sd.runs(lines(spark, files)).collect()}
+    assert len(got) == 8 and all(r.graph is not None and not r.extras for r in got.values())
+
+
+def test_lines_that_only_python_reads(spark):
+    a = ['{"run_id": "r1", "f": 1, "f": 2, "x": NaN}', '{"run_id": "r2", "f": 3} tail']
+    b = [{"run_id": "r1", "g": 2, "x": 1}]
+    assert found(spark, [(1, 1, 0, a), (1, 2, 1, b)]) == [(2, "g", "renamed")]
+
+
+def test_no_variant_of_a_column_name_is_left_over(spark, medium):
+    left = {k for r in problems.p2_runs(spark, medium).collect() for k in r.extras}
+    assert not left & {"source", "SAIDI", "Graph", "Sources"}
 
 
 def test_empty_table(spark):

@@ -124,9 +124,10 @@ def test_polynomials_have_all_powers(spark, small):
 
 def test_chains_of_renames_of_any_length(spark):
     names = ["saidi", *(f"name{k}" for k in range(9))]
-    moved = spark.createDataFrame(list(zip(names, names[1:])) + [("other", "another")], "old_path string, new_path string")
-    got = {r.path: r.target for r in schema_drift.aliases(moved, ["saidi", "n"]).collect()}
-    assert got == dict.fromkeys(names, "saidi") | {"n": "n"}
+    moved = spark.createDataFrame([(1, a, b) for a, b in [*zip(names, names[1:]), ("other", "another")]], "stream_id bigint, old_path string, new_path string")
+    fields = spark.createDataFrame([(s, p) for s in (1, 2) for p in [*names, "n", "other"]], "stream_id bigint, path string")
+    got = {(r.stream_id, r.path): r.target for r in schema_drift.aliases(moved, fields, ["saidi", "n"]).collect()}
+    assert got == {(1, n): "saidi" for n in names} | {(2, "saidi"): "saidi", (1, "n"): "n", (2, "n"): "n"}
 
 
 def test_partitions_of_whole_regions(spark, small):
