@@ -18,6 +18,7 @@ Defined results for odd input:
   every version must agree for a rename, and the later line holds in the table of runs;
 * files written at the same moment follow each other by ``file_id``;
 * numbers that are not finite count as numbers and as equal; a whole number of over 38 digits counts as its double;
+* the JSON text of an object has its members in order of name, a number no zeros at its end;
 * an empty table gives empty results; extra columns are not read.
 """
 
