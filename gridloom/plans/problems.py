@@ -74,11 +74,7 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = _tracker(spark, sf_dir).snapshots
-    out = taken[0]
-    for more in taken[1:]:
-        out = out.unionByName(more)
-    return out
+    return _tracker(spark, sf_dir).snapshots().drop("as_of")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +95,18 @@ j AS (SELECT ref_table, ref_id, field, recorded_at, count(nd.k) AS n, bool_or(cr
  FROM rk LEFT JOIN nd ON nd.graph_id = rk.graph_id AND nd.k = rk.k WHERE rk.k <> '' GROUP BY ref_table, ref_id, field, recorded_at),
 op AS (SELECT ref_table, ref_id, field, recorded_at, CASE WHEN n = 0 THEN 'missing' WHEN late THEN 'late' ELSE 'deleted' END AS kind FROM j WHERE valid IS DISTINCT FROM true)"""
 
+_SNAPSHOTS = _ORPHANS.replace("FROM nodes", "FROM nodes_upto").replace("FROM capacitors", "FROM capacitors_upto").replace("FROM voltage_regulators", "FROM regulators_upto")
+
+
+def _after(batch: int, batches: int = 3) -> str:
+    """Orphans by what had arrived after a batch."""
+    arrived = f"loaded_at IS NOT NULL AND epoch_us(loaded_at) < (SELECT lo + (hi - lo) * {batch} // {batches} FROM span)" if batch < batches else "true"
+    spans = "span AS (SELECT epoch_us(min(loaded_at)) AS lo, epoch_us(max(loaded_at)) AS hi FROM (SELECT loaded_at FROM nodes WHERE trim(label) <> '' AND graph_id IS NOT NULL UNION ALL SELECT loaded_at FROM capacitors WHERE trim(node) <> '' UNION ALL SELECT loaded_at FROM voltage_regulators WHERE trim(node_a) <> '' OR trim(node_b) <> ''))"
+    upto = ", ".join(f"{name}_upto AS (SELECT * FROM {table} WHERE {arrived})" for name, table in (("nodes", "nodes"), ("capacitors", "capacitors"), ("regulators", "voltage_regulators")))
+    rest = _SNAPSHOTS.removeprefix("WITH ")
+    return f"SELECT * FROM (WITH {spans}, {upto}, {rest} SELECT CAST({batch} AS BIGINT) AS batch, ref_table, field, kind, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM op GROUP BY 1, 2, 3, 4, 5)"
+
+
 _EDGES = """WITH RECURSIVE cell(rec_id, root, prefix, c) AS (
  SELECT rec_id, root, '' AS prefix, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS c
  FROM (SELECT rec_id, root, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (SELECT rec_id, 'graph' AS root, graph AS t FROM networks UNION ALL SELECT rec_id, 'optimal_network', optimal_network FROM networks))
@@ -164,5 +172,6 @@ SQL = {
     **_P2,
     "p3_found": f"{_EDGES} SELECT DISTINCT rec_id, root, path, least(a, b) AS u, greatest(a, b) AS v FROM en",
     "p4_found": f"{_ORPHANS} SELECT ref_table, ref_id, field, kind FROM op",
+    "p4_snapshots": " UNION ALL ".join(map(_after, (1, 2, 3))),
     "p4_counts": f"{_ORPHANS} SELECT ref_table, field, kind, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM op GROUP BY 1, 2, 3, 4",
 }

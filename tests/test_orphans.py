@@ -36,7 +36,7 @@ def test_against_brute_force(spark, medium):
     assert set(got) == brute(read("nodes"), refs) and len(got) == len(set(got)) and got
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 3, 10])
 def test_any_batches(spark, batches):
     rng = random.Random(batches)
     hour = lambda: rng.choice([None, *range(0, 60, 3)])
@@ -63,7 +63,30 @@ def test_arrivals_resolve_and_deletions_reopen(spark):
     assert kinds() == ["late"]
     tracker.apply(node(day(4), None), ref.where("false"), "3")
     assert kinds() == []
-    assert [s.count() for s in tracker.snapshots] == [1, 1, 0]
+    assert [(r.batch, r.as_of, r.kind, r.orphans) for r in tracker.snapshots().orderBy("batch").collect()] == [(1, "1", "missing", 1), (2, "2", "late", 1)]
+    assert [x.count() for x in tracker.added] == [1, 1, 1]
+    tracker.apply(node(day(4), day(5)), ref.where("false"), "4")
+    assert kinds() == []  # another record of the same label is still valid
+
+
+def test_only_keys_of_the_batch_are_touched(spark):
+    tracker = orphans.OrphanTracker(spark)
+    parents = orphans.parents_of(spark.createDataFrame([(i, 1, f"n{i}", T0, None, None, "k") for i in range(50)], N))
+    refs = orphans.references_of(spark.createDataFrame([(i, 1, f"n{i}", T0, None, "k") for i in range(60)], C), "capacitors", "cap_id", ["node"])
+    tracker.apply(parents, refs, "1")
+    later = orphans.parents_of(spark.createDataFrame([(99, 1, "n55", T0, None, None, "k")], N))
+    tracker.apply(later, refs.where("false"), "2")
+    assert [x.count() for x in tracker.added] == [60, 1]
+    assert sorted(r.ref_id for r in tracker.open().collect()) == [i for i in range(50, 60) if i != 55]
+
+
+def test_a_key_with_most_rows_is_split(spark):
+    rows = [(i, 1, "hot", T0 + timedelta(minutes=7 * i), T0 + timedelta(minutes=7 * i + 3), None, "k") for i in range(2000)]
+    refs = [(i, 1, "HOT ", T0 + timedelta(minutes=i), None, "k") for i in range(14000)]
+    n, c = spark.createDataFrame(rows, N), spark.createDataFrame(refs, C)
+    tracker = orphans.track(orphans.parents_of(n), orphans.references_of(c, "capacitors", "cap_id", ["node"]))
+    # a record lives for three of every seven minutes
+    assert {r.ref_id for r in tracker.open().collect()} == {i for i in range(14000) if i % 7 >= 3}
 
 
 def test_empty_tables(spark):
