@@ -1,7 +1,8 @@
 """Points near other points, and the regions that contain them (problem 5).
 
-A bounded sample of the positions makes a quadtree whose leaves hold about
-equally many points. Every point goes to the leaf it lies in and, as a
+A sample of the positions makes a quadtree whose leaves hold at most about ``leaf_points`` points: the sample grows with
+the points (``SAMPLE_PER_LEAF`` of each leaf's), it is counted per cell and level by aggregations, and only the cells that
+are to be split reach the driver. Every point goes to the leaf it lies in and, as a
 replica, to each leaf that its surrounding box of the given distance touches;
 every region goes to the leaves that its bounds touch. A leaf is one group: an
 R-tree is packed over its points (on the unit sphere, so that neither the date
@@ -10,7 +11,8 @@ pairs are refined by their great-circle distance. A pair is emitted only in the
 leaf that holds its reference point, the position of the smaller id.
 
 A leaf that cannot be split further (many points in one place) is divided by
-the probing points: each part holds all points of the leaf but probes with its own.
+the probing points: each part holds all points of the leaf but probes with its own. Over ``MAX_LEAVES * leaf_points``
+points the leaves grow with the points, so that the tree that every task gets stays small.
 
 Defined results for odd input: positions that are null, NaN, infinite,
 exactly (0, 0) or outside the ranges are unknown and give no row; repeated rows
@@ -31,11 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import cut
+
 EARTH_M = 6_371_008.8
-SAMPLE_POINTS = 40_000
 LEAF_POINTS = 10_000
+#: Points of a leaf that are in the sample: a leaf's estimate is off by a tenth on average, so leaves stay below twice ``leaf_points``.
+SAMPLE_PER_LEAF = 128
+MAX_LEAVES = 100_000
 MAX_LEVEL = 17
 LEAF_ENTRIES = 16
+#: Places of the grid over a surrounding box that is larger than the finest leaf.
+GRID_PLACES = 256
 
 
 # --- regions -----------------------------------------------------------------
@@ -123,22 +131,21 @@ def contains(x: np.ndarray, y: np.ndarray, polygon: list[np.ndarray]) -> np.ndar
 class QuadTree:
     """Leaves as spans of Morton codes at the finest level, over longitude and latitude."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, capacity: float, max_level: int = MAX_LEVEL):
+    def __init__(self, dense: dict[tuple[int, int], float], capacity: float, max_level: int = MAX_LEVEL):
+        """``dense``: ``(level, cell)`` of the cells that hold more than ``capacity``, with what they hold; those below ``max_level`` are split."""
         self.max_level = max_level
-        codes = np.sort(self.code(x, y))
-        leaves: list[tuple[int, int, int]] = []
+        leaves: list[tuple[int, int, float]] = []
         stack = [(0, 0)]
         while stack:
-            start, level = stack.pop()
-            span = 4 ** (max_level - level)
-            held = int(np.searchsorted(codes, start + span) - np.searchsorted(codes, start))
-            if held <= capacity or level == max_level:
-                leaves.append((start, level, held))
+            level, cell = stack.pop()
+            if level < max_level and (level, cell) in dense:
+                stack += [(level + 1, 4 * cell + k) for k in range(4)]
             else:
-                stack += [(start + k * span // 4, level + 1) for k in range(4)]
+                leaves.append((cell * 4 ** (max_level - level), level, dense.get((level, cell), 0.0)))
         leaves.sort()
+        self.finest = max(level for _, level, _ in leaves)
         self.starts = np.array([s for s, _, _ in leaves], dtype=np.int64)
-        self.parts = np.array([max(1, math.ceil(n / (2 * capacity))) if level == max_level else 1 for _, level, n in leaves], dtype=np.int64)
+        self.parts = np.array([max(1, math.ceil(n / (2 * capacity))) for _, _, n in leaves], dtype=np.int64)
         cells = [self._cell(s, level) for s, level, _ in leaves]
         self.west, self.south, self.east, self.north = np.array(cells).T
 
@@ -173,15 +180,17 @@ class QuadTree:
         with np.errstate(divide="ignore", invalid="ignore"):
             reach = np.sin(metres / EARTH_M) / np.cos(np.radians(y))
             dx = np.where(np.abs(y) + dy >= 90, 180.0, np.degrees(np.arcsin(np.clip(reach, 0, 1)))) * 1.001 + 1e-9
-        fine = (2 * dx < 360 / 2**self.max_level) & (2 * dy < 180 / 2**self.max_level)
+        # every leaf is at least as large as the finest one, so a grid of that width meets each leaf that a box touches
+        nx, ny = np.ceil(2 * dx / (360 / 2**self.finest)).astype(np.int64), math.ceil(2 * dy / (180 / 2**self.finest))
+        fine = (nx + 1) * (ny + 1) <= GRID_PLACES
         points, leaves = [np.arange(len(x))], [home]
-        # a box smaller than the smallest leaf touches the leaves of its corners and no other
-        at = np.flatnonzero(fine)
-        for sx in (-1, 1):
-            for sy in (-1, 1):
-                cx = (x[at] + sx * dx[at] + 180) % 360 - 180
-                points.append(at)
-                leaves.append(self.leaf(cx, np.clip(y[at] + sy * dy, -90, 90)))
+        for width in np.unique(nx[fine]):
+            at = np.flatnonzero(fine & (nx == width))
+            for sx in np.linspace(-1, 1, width + 1):
+                for sy in np.linspace(-1, 1, ny + 1):
+                    cx = (x[at] + sx * dx[at] + 180) % 360 - 180
+                    points.append(at)
+                    leaves.append(self.leaf(cx, np.clip(y[at] + sy * dy, -90, 90)))
         for k in np.flatnonzero(~fine):
             for shift in (-360, 0, 360):
                 found = self.touching(x[k] - dx[k] + shift, y[k] - dy, x[k] + dx[k] + shift, y[k] + dy)
@@ -377,19 +386,40 @@ def _search(metres: float):
     return run
 
 
-def plan_tree(points: DataFrame, sample_points: int = SAMPLE_POINTS, leaf_points: int = LEAF_POINTS, max_level: int = MAX_LEVEL) -> QuadTree:
-    """The quadtree of a sample of at most about ``sample_points`` positions; the sample only sets the leaves."""
-    n = points.count()
-    share = min(1.0, sample_points / max(n, 1))
-    sample = points.select("x", "y") if share == 1.0 else points.select("x", "y").sample(fraction=share, seed=5)
-    held = sample.limit(2 * sample_points).toPandas()
-    return QuadTree(held["x"].to_numpy(float), held["y"].to_numpy(float), max(8.0, leaf_points * share), max_level)
+def _spread_bits(v: Column) -> Column:
+    """A zero between all bits of a number of up to 32."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+    return v
+
+
+def morton(x: Column, y: Column, level: int = MAX_LEVEL) -> Column:
+    """The cell of a position at ``level``; that of the level above is its quarter."""
+    n = 2**level
+    at = lambda v, low, width: F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((v + F.lit(low)) / F.lit(width) * F.lit(n)))).cast("bigint")
+    return _spread_bits(at(x, 180.0, 360.0)).bitwiseOR(F.shiftleft(_spread_bits(at(y, 90.0, 180.0)), 1))
+
+
+def plan_tree(points: DataFrame, leaf_points: int = LEAF_POINTS, max_level: int = MAX_LEVEL) -> QuadTree:
+    """The quadtree of a sample of the positions; the sample only sets the leaves."""
+    share = min(1.0, SAMPLE_PER_LEAF / leaf_points)
+    sample = points if share == 1.0 else points.where(F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    cells = cut(sample.select(morton(F.col("x"), F.col("y"), max_level).alias("cell")).groupBy("cell").agg((F.count("*") / F.lit(share)).alias("held")))
+    total = cells.agg(F.sum("held")).first()[0] or 0.0
+    capacity = max(float(leaf_points), total / MAX_LEAVES)
+    if total <= capacity:
+        return QuadTree({}, capacity, max_level)
+    above = F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("level")
+    levels = cells.select("cell", "held", above).groupBy("level", F.expr(f"shiftright(cell, 2 * ({max_level} - level))").alias("cell")).agg(F.sum("held").alias("held"))
+    # at most one cell in capacity / level holds more than the capacity, so this is bounded by MAX_LEAVES and the levels
+    dense = levels.where(F.col("held") > capacity).collect()
+    return QuadTree({(r.level, r.cell): r.held for r in dense}, capacity, max_level)
 
 
-def near_and_in(points: DataFrame, regions: DataFrame | None, metres: float, leaf_points: int = LEAF_POINTS, max_level: int = MAX_LEVEL, sample_points: int = SAMPLE_POINTS) -> DataFrame:
+def near_and_in(points: DataFrame, regions: DataFrame | None, metres: float, leaf_points: int = LEAF_POINTS, max_level: int = MAX_LEVEL) -> DataFrame:
     """``kind, id_a, id_b``: ``near`` pairs of ``points`` (``id, x, y``), and ``in`` rows of a point and a region (``id, shape``)."""
     fine = points.where(known_position(F.col("x"), F.col("y")) & F.col("id").isNotNull()).select("id", "x", "y")
-    tree = plan_tree(fine, sample_points, leaf_points, max_level)
+    tree = plan_tree(fine, leaf_points, max_level)
     placed = fine.mapInPandas(_place_points(tree, metres), _PLACED)
     if regions is not None:
         placed = placed.unionByName(regions.where("shape is not null and id is not null").select(F.col("id").cast("bigint"), "shape").mapInPandas(_place_regions(tree), _PLACED))

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import spatial
 from gridloom.plans import problems
@@ -82,3 +83,32 @@ def test_region_forms(spark, shape, want):
     regions = spark.createDataFrame([(7, shape if shape is None or isinstance(shape, str) else json.dumps(shape))], "id bigint, shape string")
     got = [tuple(r) for r in spatial.near_and_in(points, regions, 25.0, leaf_points=1).collect()]
     assert sorted(got) == sorted(("in", k, 7) for k in want)
+
+
+@pytest.mark.parametrize("n", [4000, 40000])
+def test_leaves_stay_below_their_maximum(spark, n):
+    rng = np.random.default_rng(n)
+    where = rng.normal([[10, 50]], [[2, 1]], (n, 2))
+    where[: n // 3] = rng.normal([[-70, -30]], [[1e-4, 1e-4]], (n // 3, 2))  # a third in one small place
+    df = frame(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(where)])
+    tree = spatial.plan_tree(df, leaf_points=200)
+    held = np.bincount(tree.leaf(*where.T), minlength=len(tree.starts))
+    level_17 = (tree.east - tree.west) < 360 / 2**16
+    assert held[~level_17].max() <= 400 and (held[level_17] <= 2 * 2 * 200 * tree.parts[level_17]).all()
+    assert len(tree.starts) > n / 400
+
+
+def test_codes_agree(spark):
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate([(-180, -90), (180, 90), (0.1, 0.1), (-33.3, 71.2), (179.9999, -89.9999)])]
+    got = {r.id: r.code for r in frame(spark, points).select("id", spatial.morton(F.col("x"), F.col("y")).alias("code")).collect()}
+    tree = spatial.QuadTree({}, 1.0)
+    _, x, y = np.array(points).T
+    assert [got[i] for i in range(len(points))] == tree.code(x, y).tolist()
+
+
+def test_distances_larger_than_leaves(spark):
+    rng = np.random.default_rng(8)
+    ids = np.arange(300)
+    x, y = rng.uniform(-180, 180, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))
+    got = [(r.id_a, r.id_b) for r in spatial.near_and_in(frame(spark, list(zip(ids, x.tolist(), y.tolist(), strict=True))), None, 900_000.0, leaf_points=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == near_brute(ids, x, y, 900_000.0)
