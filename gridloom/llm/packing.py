@@ -1,12 +1,14 @@
 """Filling containers of fixed capacity with whole items (problem 7).
 
-Hierarchical residual packing. Items are spread by a hash of their id; each
-partition packs its own by best fit, largest first. Bins that are nearly full are
+Hierarchical residual packing. Items are spread over partitions of about ``ITEMS`` items by a hash that does not
+depend on equal ids; each partition packs its own by best fit, largest first. Bins that are nearly full are
 done. Of the others a partition passes on, as items of their own, its bins of at most
-half the capacity (best fit leaves one at most) and the emptiest of the rest as
-hosts; partitions are merged by ``FAN_IN`` and packed again, up to one. What a
-partition passes on has a fixed bound, so no task ever takes up the items or
-the bins of the whole table; bins that are not passed on stay as they are.
+half the capacity and, as hosts, bins with more; partitions are merged by ``FAN_IN`` and packed again, up to one.
+
+Best fit leaves a partition one bin of at most half the capacity at most, for two such would have gone together. So
+a merge has at most ``FAN_IN`` bins to place and, of each amount of room, needs no more than ``FAN_IN`` hosts:
+with these the merge ends as it would with all underfull bins of its partitions. What a partition passes on is thus
+bounded by the capacity, and no bin that could take up another one is left out.
 
 An item larger than the capacity is cut: full containers for its beginning,
 the rest an item like others. Items of size 0 take no room and lie in the first
@@ -14,13 +16,15 @@ container of their partition.
 
 Defined results for odd input: null sizes count as 0, negative sizes as 0; repeated ids
 are items of their own; an empty table gives no row; ties are taken in the order of the
-id, so the result depends on the rows and ``partitions`` only.
+id, so the result depends on the stored rows and ``partitions`` only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,8 @@ CAPACITY = 2048
 FAN_IN = 8
 #: Share of the capacity from which a bin counts as nearly full.
 NEARLY_FULL = 0.98
-#: Bins that a partition passes on as hosts at most, those with the most room.
-HOSTS = 256
+#: Items that a partition packs on average; of fewer items, ``SMALLEST`` are enough for a partition of its own.
+ITEMS, SMALLEST = 250_000, 25_000
 
 
 class BestFit:
@@ -78,52 +82,38 @@ def _pack_items(capacity: int):
     """Input sorted by size, largest first: ``part, item, size``; output one row per piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[pa.Array] = []
-        sizes: list[int] = []
-        part = 0
-        for b in batches:
-            if b.num_rows:
-                part = b.column(0)[0].as_py()
-                ids.append(b.column(1))
-                sizes += b.column(2).to_pylist()
-        if not sizes:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held).combine_chunks()
+        part = table.column(0)[0].as_py()
+        sizes = table.column(2).to_numpy().astype(np.int64)
+        # pieces: those that fill a container, the rests largest first, and the items without size
+        whole, rest = sizes // capacity, sizes % capacity
+        full_owner = np.repeat(np.arange(len(sizes)), whole)
+        full_piece = np.arange(len(full_owner)) - np.repeat(np.cumsum(whole) - whole, whole)
+        some = np.flatnonzero(rest)
+        some = some[np.lexsort((some, -rest[some]))]
+        none = np.flatnonzero(sizes == 0)
         fit = BestFit(capacity)
-        owner, piece, start, tokens, bins = [], [], [], [], []
-
-        def place(i: int, p: int, at: int, size: int, bin_no: int) -> None:
-            owner.append(i)
-            piece.append(p)
-            start.append(at)
-            tokens.append(size)
-            bins.append(bin_no)
-
-        rests = []
-        for i, size in enumerate(sizes):
-            if size > capacity:
-                for p in range(size // capacity):
-                    place(i, p, p * capacity, capacity, fit.put(capacity))
-                if size % capacity:
-                    rests.append((size % capacity, i, size // capacity))
-            elif size:
-                rests.append((size, i, 0))
-        rests.sort(key=lambda x: (-x[0], x[1]))
-        for size, i, p in rests:
-            place(i, p, p * capacity, size, fit.put(size))
-        first = 0
-        for i, size in enumerate(sizes):
-            if not size:
-                if not fit.room:
-                    first = fit.put(0)
-                place(i, 0, 0, 0, first)
-        held = pa.chunked_array(ids).combine_chunks()
-        rooms = fit.room
+        full_bins = np.arange(len(full_owner))
+        for _ in range(len(full_owner)):
+            fit.put(capacity)
+        rest_bins = np.fromiter(map(fit.put, rest[some].tolist()), np.int64, len(some))
+        if len(none) and not fit.room:
+            fit.put(0)
+        owner = np.r_[full_owner, some, none]
+        piece = np.r_[full_piece, whole[some], np.zeros(len(none), np.int64)]
+        tokens = np.r_[np.full(len(full_owner), capacity), rest[some], np.zeros(len(none), np.int64)]
+        bins = np.r_[full_bins, rest_bins, np.zeros(len(none), np.int64)]
+        fill = capacity - np.array(fit.room, dtype=np.int64)[bins]
+        ids = table.column(1)
         for k in range(0, len(owner), 100_000):
             span = slice(k, k + 100_000)
-            took = held.take(pa.array(owner[span], pa.int64()))
-            took = took.combine_chunks() if isinstance(took, pa.ChunkedArray) else took
+            took = ids.take(pa.array(owner[span])).combine_chunks()
+            took = took.chunk(0) if isinstance(took, pa.ChunkedArray) else took
             yield pa.RecordBatch.from_arrays(
-                [took, pa.array(piece[span], pa.int32()), pa.array(start[span], pa.int64()), pa.array(tokens[span], pa.int32()), pa.array([(part << 40) | x for x in bins[span]], pa.int64()), pa.array([capacity - rooms[x] for x in bins[span]], pa.int32())],
+                [took, pa.array(piece[span], pa.int32()), pa.array(piece[span] * capacity, pa.int64()), pa.array(tokens[span], pa.int32()), pa.array((part << 40) | bins[span], pa.int64()), pa.array(fill[span], pa.int32())],
                 names=["item", "piece", "start", "tokens", "bin", "fill"],
             )
 
@@ -133,16 +123,17 @@ def _pack_items(capacity: int):
 _BINS = "bin bigint, fill int, members array<bigint>"
 
 
-def _pass_on(bins: list[tuple[int, int, list[int]]], capacity: int, hosts: int) -> tuple[list, list]:
-    """``(done, passed on)`` of the bins of a partition."""
-    bins.sort(key=lambda b: (b[1], b[0]))
-    small = [b for b in bins if 2 * b[1] <= capacity]
-    large = [b for b in bins if 2 * b[1] > capacity]
-    open_ones = [b for b in large if b[1] < NEARLY_FULL * capacity]
-    return open_ones[hosts:] + [b for b in large if b[1] >= NEARLY_FULL * capacity], small + open_ones[:hosts]
+def _pass_on(bins: list[tuple[int, int, list[int]]], capacity: int) -> tuple[list, list]:
+    """``(done, passed on)`` of the bins of a partition: of each amount of room, as many hosts as bins can come."""
+    done, on, of_room = [], [], Counter()
+    for b in sorted(bins, key=lambda b: (b[1], b[0])):
+        host = 2 * b[1] > capacity
+        of_room[b[1]] += host
+        (done if host and (b[1] >= NEARLY_FULL * capacity or of_room[b[1]] > FAN_IN) else on).append(b)
+    return done, on
 
 
-def _pack_bins(capacity: int, hosts: int, last: bool):
+def _pack_bins(capacity: int, last: bool):
     """Underfull bins of several partitions, packed as items; ``done`` marks those that go no further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +149,7 @@ def _pack_bins(capacity: int, hosts: int, last: bool):
                 packed.append((bin_id, []))
             packed[at][1].extend(members)
         out = [(bin_id, capacity - room, members) for (bin_id, members), room in zip(packed, fit.room, strict=True)]
-        done, on = (out, []) if last else _pass_on(out, capacity, hosts)
+        done, on = (out, []) if last else _pass_on(out, capacity)
         both = [*((*b, True) for b in done), *((*b, False) for b in on)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int32()), pa.array([b[2] for b in both], pa.list_(pa.int64())), pa.array([b[3] for b in both], pa.bool_())],
@@ -168,37 +159,38 @@ def _pack_bins(capacity: int, hosts: int, last: bool):
     return run
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, partitions: int | None = None, hosts: int = HOSTS) -> DataFrame:
-    """``item, piece, start, tokens, bin, fill``: one row per whole item or piece of one that exceeds ``capacity``."""
-    spark = items.sparkSession
+def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
+    """``item, piece, start, tokens, bin, fill``: one row per whole item or piece of one that exceeds ``capacity``.
+
+    Without ``partitions`` their number follows from that of the items, so that none holds much more than ``ITEMS``.
+    """
     sized = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("int")
-    rows = items.select(F.col(item).alias("item"), sized.alias("size"))
+    # written once: sizes can be dear, and the place of a row serves as its own id for the spread
+    rows = cut(items.select(F.col(item).alias("item"), sized.alias("size")))
     kind = rows.schema["item"].dataType.simpleString()
     if partitions is None:
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(partitions)).cast("int")).repartitionById(partitions, "part")
+        n, cores = rows.count(), items.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, -(-n // ITEMS), min(cores, n // SMALLEST))
+    own = F.xxhash64("item", F.monotonically_increasing_id())
+    spread = rows.withColumn("part", F.pmod(own, F.lit(partitions)).cast("int")).repartitionById(partitions, "part")
     ordered = spread.sortWithinPartitions(F.desc("size"), "item").select("part", "item", "size")
     pieces = cut(ordered.mapInArrow(_pack_items(capacity), _PIECES.format(id="item", kind=kind)))
 
     # the bins of each partition: most are nearly full, a bounded number of the others goes on
-    bins = pieces.groupBy("bin").agg(F.max("fill").alias("fill")).withColumn("part", F.shiftright("bin", 40).cast("int")).where(f"fill < {NEARLY_FULL} * {capacity}")
-    level = bins.select("bin", "fill", F.array("bin").alias("members"), "part")
+    level = pieces.where(F.col("fill") < NEARLY_FULL * capacity).groupBy("bin").agg(F.max("fill").alias("fill")).select("bin", "fill", F.array("bin").alias("members"), F.shiftright("bin", 40).cast("int").alias("part"))
     moved, width, first = [], partitions, True
     while width > 1 or first:
         # the first round only chooses what each partition passes on
-        last = width == 1
         group = F.col("part") if first else F.floor(F.col("part") / FAN_IN).cast("int")
-        at = level.withColumn("part", group).repartitionById(width if first else max(1, -(-width // FAN_IN)), "part")
-        if not first:
-            width = max(1, -(-width // FAN_IN))
-            last = width == 1
-        packed = at.select("bin", "fill", "members").mapInArrow(_pack_bins(capacity, hosts, last), f"{_BINS}, done boolean")
+        width = width if first else max(1, -(-width // FAN_IN))
+        at = level.withColumn("part", group).repartitionById(width, "part")
+        packed = at.select("bin", "fill", "members").mapInArrow(_pack_bins(capacity, width == 1), f"{_BINS}, done boolean")
         out = cut(packed.withColumn("part", F.spark_partition_id()))
-        moved.append(out.where("done").select("bin", "fill", "members"))
+        moved.append(out.where("done and size(members) > 1").select("bin", "fill", "members"))
         level, first = out.where("not done").drop("done"), False
     merged = moved[0]
     for more in moved[1:]:
         merged = merged.unionByName(more)
-    joined = merged.where("size(members) > 1").select(F.col("bin").alias("new_bin"), F.col("fill").alias("new_fill"), F.explode("members").alias("bin"))
+    joined = merged.select(F.col("bin").alias("new_bin"), F.col("fill").alias("new_fill"), F.explode("members").alias("bin"))
     final = pieces.join(joined, "bin", "left")
     return final.select(F.col("item").alias(item), "piece", "start", "tokens", F.coalesce("new_bin", "bin").alias("bin"), F.coalesce("new_fill", "fill").alias("fill"))

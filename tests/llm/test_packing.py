@@ -48,6 +48,32 @@ def test_odd_sizes(spark):
     assert len(twice) == 2 * len(packing.pack(df, "doc_id", "tokens", 100, 2).collect())
 
 
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_no_partition_exceeds_its_maximum(spark, monkeypatch, n):
+    monkeypatch.setattr(packing, "ITEMS", 500)
+    monkeypatch.setattr(packing, "SMALLEST", 500)
+    rng = random.Random(n)
+    # a third of the rows has the same id
+    rows = [(0 if i % 3 == 0 else i, rng.randint(1, 60)) for i in range(n)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, tokens int"), "doc_id", "tokens", 100).collect()
+    assert sum(r.tokens for r in out) == sum(t for _, t in rows)
+    held = {}
+    for r in out:
+        held[r.bin >> 40] = held.get(r.bin >> 40, 0) + 1
+    assert len(held) == n // 500 and max(held.values()) <= 2 * 500
+    assert len({r.bin for r in out}) <= sum(t for _, t in rows) / 100 * 1.02
+
+
+def test_every_underfull_bin_can_be_a_host(spark):
+    # each of 400 items of 51 needs a bin of its own; the items of 49 and less come last and must find them, whatever the partition
+    sizes = [60] * 399 + [51] + [40] * 12
+    rows = packing.pack(frame(spark, sizes), "doc_id", "tokens", 100, 16).collect()
+    assert len(check(rows, dict(enumerate(sizes)), 100)) == 400
+    hosts = [(i, 60, [i]) for i in range(400)] + [(900, 40, [900])]
+    done, on = packing._pass_on(hosts, 100)
+    assert len(on) == packing.FAN_IN + 1 and len(done) == 400 - packing.FAN_IN
+
+
 def test_best_fit():
     fit = packing.BestFit(10)
     assert [fit.put(x) for x in (7, 5, 5, 3, 2)] == [0, 1, 1, 0, 2]

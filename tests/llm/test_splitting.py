@@ -79,3 +79,24 @@ def test_whole_table(spark, medium):
     assert set(rows) == want
     for k, mine in rows.items():
         check(mine, docs[k], 1024, 64)
+
+
+def test_spans_of_both_tokenizers_agree(spark, medium):
+    df = spark.read.parquet(f"{medium}/documents.parquet")
+    columns = ["doc_id", "piece_no", "token_start", "token_end", "char_start", "char_end", "boundary", "text"]
+    rows = lambda name: sorted(map(tuple, splitting.split(df, limit=200, overlap=20, tokenizer=name).select(columns).collect()))
+    by_ranks = rows(tokens.RANKS)
+    assert by_ranks == rows(tokens.TOKENIZER) and len(by_ranks) > 1000
+
+
+def test_tokens_that_are_no_bytes(spark):
+    # a vocabulary that is not byte-level: no shortcut over the number of bytes
+    assert not tokens.byte_level(tokens.tokenizer_path("word_bpe_49k.json")) and tokens.byte_level(PATH)
+    rows = splitting.split(frame(spark, ["a b c d e f " * 30]), limit=40, overlap=4, tokenizer="word_bpe_49k.json").collect()
+    assert max(r.token_end for r in rows) == 180 and all(r.n_tokens <= 40 for r in rows)
+
+
+def test_a_very_long_text(spark):
+    text = "Some words go here, and more of them follow. " * 40_000  # 1.8 million characters
+    rows = splitting.split(frame(spark, [text]), limit=64, overlap=8).select("piece_no", "char_start", "char_end", "token_start", "token_end").orderBy("piece_no").collect()
+    assert len(rows) > 7000 and rows[-1].char_end == len(text) and all(b.token_start <= a.token_end for a, b in zip(rows, rows[1:]))
