@@ -32,7 +32,12 @@ from pyspark.sql import functions as F
 K = 2048
 PERCENTILES = (1, 5, 25, 50, 75, 95, 99)
 FAN_IN = 32
-SALTS = 16
+#: Partitions that the rows of a graph and day are spread over, at least; above ``ROWS_PER_SALT`` rows in each there are more.
+SALTS, ROWS_PER_SALT = 16, 1_000_000
+#: One of so many rows is counted to find such days.
+COUNTED = 64
+#: Sketches that a task holds at a time.
+HELD_ROWS, HELD_BYTES = 20_000, 64_000_000
 
 #: moved: the sum of the weights of all collapses so far, the bound of the rank error in values
 _SKETCH = "n bigint, moved bigint, part array<double>, levels array<int>, full array<double>"
@@ -124,25 +129,26 @@ def _codes(batch: pa.RecordBatch | pa.Table, keys: list[str]) -> list[np.ndarray
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from input sorted by ``keys``; a group over ``_PIECE`` rows comes in pieces flagged by the caller."""
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], k: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from sketches sorted by ``keys``; what is held of one group is combined whenever it exceeds ``HELD_BYTES``."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         rows += b.num_rows
-        if rows < 20_000:
+        size += b.nbytes
+        if rows < HELD_ROWS and size < HELD_BYTES:
             continue
         t = pa.Table.from_batches(held).combine_chunks()
         last = int(_starts(_codes(t, keys))[-1])
-        if last == 0:
-            held, rows = t.to_batches(), rows
-            continue
-        yield t.slice(0, last)
-        rest = t.slice(last)
-        held, rows = rest.to_batches(), rest.num_rows
+        if last:
+            yield t.slice(0, last)
+            t = t.slice(last)
+        elif size >= HELD_BYTES or rows >= HELD_ROWS:
+            t = pa.Table.from_batches(list(_sketches(t, keys, k)))
+        held, rows, size = t.to_batches(), t.num_rows, t.nbytes
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -232,22 +238,27 @@ def _merged(t: pa.Table, keys: list[str], k: int):
     return starts, total_n, total_moved, simple, values, group, hard
 
 
+def _sketches(t: pa.Table, keys: list[str], k: int) -> Iterator[pa.RecordBatch]:
+    """The groups of ``t``, which is sorted by ``keys``, as one sketch each."""
+    starts, n, moved, simple, values, group, hard = _merged(t, keys, k)
+    names = [*keys, "n", "moved", "part", "levels", "full"]
+    at = np.flatnonzero(simple)
+    if len(at):
+        offsets = np.searchsorted(group, np.r_[at, len(starts)]).astype(np.int32)
+        none = np.zeros(len(at) + 1, dtype=np.int32)
+        key_columns = [t.column(c).combine_chunks().take(pa.array(starts[at])) for c in keys]
+        key_columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in key_columns]
+        yield pa.RecordBatch.from_arrays([*key_columns, pa.array(n[at]), pa.array(moved[at]), _lists(offsets, values), _lists(none, np.zeros(0, np.int32), pa.int32()), _lists(none, np.zeros(0))], names=names)
+    for i, (hn, hm, part, levels, full) in hard.items():
+        key_columns = [t.column(c).slice(int(starts[i]), 1).combine_chunks() for c in keys]
+        key_columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in key_columns]
+        yield pa.RecordBatch.from_arrays([*key_columns, pa.array([hn]), pa.array([hm]), pa.array([part.tolist()], pa.list_(pa.float64())), pa.array([levels], pa.list_(pa.int32())), pa.array([full.tolist()], pa.list_(pa.float64()))], names=names)
+
+
 def _merge(keys: list[str], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, keys):
-            starts, n, moved, simple, values, group, hard = _merged(t, keys, k)
-            names = [*keys, "n", "moved", "part", "levels", "full"]
-            at = np.flatnonzero(simple)
-            if len(at):
-                offsets = np.searchsorted(group, np.r_[at, len(starts)]).astype(np.int32)
-                none = np.zeros(len(at) + 1, dtype=np.int32)
-                key_columns = [t.column(c).combine_chunks().take(pa.array(starts[at])) for c in keys]
-                key_columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in key_columns]
-                yield pa.RecordBatch.from_arrays([*key_columns, pa.array(n[at]), pa.array(moved[at]), _lists(offsets, values), _lists(none, np.zeros(0, np.int32), pa.int32()), _lists(none, np.zeros(0))], names=names)
-            for i, (hn, hm, part, levels, full) in hard.items():
-                key_columns = [t.column(c).slice(int(starts[i]), 1).combine_chunks() for c in keys]
-                key_columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in key_columns]
-                yield pa.RecordBatch.from_arrays([*key_columns, pa.array([hn]), pa.array([hm]), pa.array([part.tolist()], pa.list_(pa.float64())), pa.array([levels], pa.list_(pa.int32())), pa.array([full.tolist()], pa.list_(pa.float64()))], names=names)
+        for t in _runs(batches, keys, k):
+            yield from _sketches(t, keys, k)
 
     return run
 
@@ -256,7 +267,7 @@ def _ask(keys: list[str], shares: tuple[float, ...], k: int):
     fractions = np.array(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, keys):
+        for t in _runs(batches, keys, k):
             starts, n, moved, simple, values, group, hard = _merged(t, keys, k)
             out = np.zeros((len(starts), len(fractions)))
             at = np.flatnonzero(simple)
@@ -317,13 +328,25 @@ def ask(sketches: DataFrame, keys: list[str], percentiles: tuple[float, ...] = P
     return asked.select(*keys, "n", *[F.col("values")[i].alias(f"p{p:02d}" if isinstance(p, int) else f"p{p}") for i, p in enumerate(percentiles)], (F.col("moved") / F.col("n")).alias("max_rank_error"))
 
 
+def hot_groups(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """``keys, salts`` of the groups of more than ``SALTS * ROWS_PER_SALT`` rows, from a count of one in ``COUNTED``.
+
+    There is at most one for every so many rows of the table, so the result is small.
+    """
+    counted = df.where(F.pmod(F.xxhash64(F.lit("salt"), id_column), F.lit(COUNTED)) == 0).groupBy(*keys).agg((F.count("*") * COUNTED).alias("__n"))
+    return counted.where(F.col("__n") > SALTS * ROWS_PER_SALT).select(*keys, F.ceil(F.col("__n") / ROWS_PER_SALT).alias("__salts"))
+
+
 def _salted(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """Distinct rows of ``df``, spread by its keys and a salt.
 
     Equal rows meet in one partition, so that one shuffle serves both the removal
-    of repeats and the sketches; a hot key lies in ``SALTS`` partitions.
+    of repeats and the sketches; a hot key lies in ``SALTS`` partitions, or as many as its rows need.
     """
-    salted = df.withColumn("salt", F.pmod(F.coalesce(F.col(id_column), F.lit(0)), F.lit(SALTS)))
+    hot = hot_groups(df, keys, id_column).toDF(*[f"__{k}" for k in keys], "__salts")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    counted = df.join(F.broadcast(hot), same, "left").drop(*[f"__{k}" for k in keys])
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64(id_column), F.coalesce("__salts", F.lit(SALTS)))).drop("__salts")
     return salted.repartition(*keys, "salt").dropDuplicates()
 
 
@@ -365,13 +388,14 @@ def percentiles_of(series: DataFrame, sweep: DataFrame, k: int = K) -> DataFrame
     return by_day.select(columns).unionByName(in_all.select(columns))
 
 
-def rank_errors(series: DataFrame, sweep: DataFrame, allowed: float = 0.01) -> DataFrame:
+def rank_errors(series: DataFrame, sweep: DataFrame, allowed: float | None = 0.01, k: int = K) -> DataFrame:
     """The percentiles held against all values: ``measure, period, graph_id, run_day, n, within``.
 
     Each value is counted against the percentiles of its groups; ``within`` tells whether the
-    true ranks of all of them are at most ``allowed`` of the group away from those asked for.
+    true ranks of all of them are at most ``allowed`` of the group away from those asked for; without
+    ``allowed``, at most the bound that the sketch of the group carries.
     """
-    asked = percentiles_of(series, sweep)
+    asked = percentiles_of(series, sweep, k)
     names = [f"p{p:02d}" for p in PERCENTILES]
     values = measurements(series, sweep)
     both = F.explode(F.array(F.struct(F.lit("day").alias("period"), F.col("run_day").alias("run_day")), F.struct(F.lit("all").alias("period"), F.lit(None).cast("date").alias("run_day")))).alias("g")
@@ -382,7 +406,8 @@ def rank_errors(series: DataFrame, sweep: DataFrame, allowed: float = 0.01) -> D
     held = rows.join(groups.select("key", *names), "key")
     counts = held.groupBy("key").agg(*[F.sum(F.when(F.col("value") < F.col(p), F.col("c")).otherwise(0)).alias(f"l_{p}") for p in names], *[F.sum(F.when(F.col("value") <= F.col(p), F.col("c")).otherwise(0)).alias(f"h_{p}") for p in names])
     fine = F.lit(True)
+    bound = F.round(F.col("n") * F.col("max_rank_error")) if allowed is None else F.col("n") * allowed
     for p, name in zip(PERCENTILES, names, strict=True):
         want = F.greatest(F.ceil(F.lit(p / 100) * F.col("n") - 1e-9), F.lit(1))
-        fine = fine & (F.greatest(F.col(f"l_{name}") + 1 - want, want - F.col(f"h_{name}"), F.lit(0)) <= F.col("n") * allowed)
+        fine = fine & (F.greatest(F.col(f"l_{name}") + 1 - want, want - F.col(f"h_{name}"), F.lit(0)) <= bound)
     return groups.join(counts, "key", "left").select("measure", "period", "graph_id", "run_day", "n", F.coalesce(fine, F.lit(False)).alias("within"))

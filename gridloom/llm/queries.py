@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm import packing, percentiles, splitting, tokens
 from gridloom.session import spread_out, table
@@ -18,6 +19,12 @@ def p1_rank_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("run_day", held["run_day"].cast("string"))
 
 
+def p1_small_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of buffers of 64 values, which collapse often: every percentile is held against the bound that its sketch carries."""
+    held = percentiles.rank_errors(table(spark, sf_dir, "series"), table(spark, sf_dir, "sweep"), allowed=None, k=64)
+    return held.withColumn("run_day", held["run_day"].cast("string"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -26,6 +33,18 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(_documents(spark, sf_dir))
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, decoded from their ids; a null text has the ids of an empty one."""
+    return tokens.decode_ids(tokens.encode(_documents(spark, sf_dir)))
+
+
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the characters of a text's tokens reach, and whether they follow each other without gaps."""
+    s = tokens.encode_spans(_documents(spark, sf_dir))
+    gaps = F.expr("exists(sequence(1, size(starts)), i -> i < size(starts) and starts[i] > ends[i - 1])")
+    return s.select("doc_id", F.coalesce(F.array_max("ends"), F.lit(0)).cast("bigint").alias("chars"), F.when(F.size("starts") > 0, gaps | (F.col("starts")[0] > 0)).otherwise(False).alias("gaps"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.token_counts(_documents(spark, sf_dir)), "doc_id", "tokens")
 
@@ -38,12 +57,18 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_rank_errors, p6_ids, p7_containers, p8_found, p8_pieces)}
-SQL: dict[str, str] = {
-    "p1_rank_errors": """WITH s AS (SELECT DISTINCT * FROM series), w AS (SELECT DISTINCT * FROM sweep),
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_rank_errors, p1_small_buffers, p6_ids, p6_texts, p6_spans, p7_containers, p8_found, p8_pieces)}
+
+_GROUPS = """WITH s AS (SELECT DISTINCT * FROM series), w AS (SELECT DISTINCT * FROM sweep),
 v AS (SELECT 'series.saidi' AS measure, graph_id, run_day, saidi AS v FROM s UNION ALL SELECT 'series.p', graph_id, run_day, p FROM s
  UNION ALL SELECT 'sweep.rel', graph_id, CAST(run_at AS DATE), unnest(rel) FROM w UNION ALL SELECT 'sweep.p', graph_id, CAST(run_at AS DATE), unnest(p) FROM w),
 f AS (SELECT * FROM v WHERE v IS NOT NULL AND isfinite(v) AND v >= 0)
 SELECT measure, 'day' AS period, graph_id, CAST(run_day AS VARCHAR) AS run_day, count(*) AS n, true AS within FROM f GROUP BY measure, graph_id, run_day
-UNION ALL SELECT measure, 'all', graph_id, NULL, count(*), true FROM f GROUP BY measure, graph_id""",
+UNION ALL SELECT measure, 'all', graph_id, NULL, count(*), true FROM f GROUP BY measure, graph_id"""
+
+SQL: dict[str, str] = {
+    "p1_rank_errors": _GROUPS,
+    "p1_small_buffers": _GROUPS,
+    "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p6_spans": "SELECT doc_id, coalesce(length(text), 0) AS chars, false AS gaps FROM documents",
 }

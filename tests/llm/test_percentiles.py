@@ -96,3 +96,35 @@ def test_against_sorting_with_a_hot_day(spark, small, k):
             assert rank_error(held[key], row[f"p{p:02d}"], p / 100) <= row.max_rank_error + 1e-12
     if k == 2048:
         assert max(r.max_rank_error for r in got.values()) <= 0.01
+
+
+def test_hot_days_get_more_salts(spark, monkeypatch):
+    monkeypatch.setattr(pc, "ROWS_PER_SALT", 10)
+    monkeypatch.setattr(pc, "COUNTED", 1)
+    day, at = date(2024, 1, 1), datetime(2024, 1, 1)
+    rows = [(i, 1 if i % 3 else i, 0, float(i), 0.0, 1.0, day, at, "x") for i in range(3000)]
+    series, sweep = frames(spark, [*rows, (None, None, 0, 1.0, 0.0, 1.0, None, at, "x")])
+    assert [tuple(r) for r in pc.hot_groups(series, ["graph_id", "run_day"], "row_id").collect()] == [(1, day, 200)]
+    got = {(r.measure, r.graph_id): r for r in pc.percentiles_of(series, sweep).where("period = 'all'").collect()}
+    assert got["series.p", 1].n == 2000 and got["series.p", 1].p50 == 1499.0 and got["series.p", None].n == 1
+
+
+def test_sketches_of_a_hot_group_are_combined_as_they_come(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(pc, "HELD_ROWS", 4)
+    values = np.random.default_rng(1).permutation(6400) * 1.0
+    names = ["graph_id", "n", "moved", "part", "levels", "full"]
+    batches = []
+    for piece in np.array_split(values, 100):
+        b = pc.Buffers(16)
+        b.add(piece)
+        n, moved, part, levels, full = b.state()
+        batches.append(pa.RecordBatch.from_arrays([pa.array([7]), pa.array([n]), pa.array([moved]), pa.array([part.tolist()], pa.list_(pa.float64())), pa.array([levels], pa.list_(pa.int32())), pa.array([full.tolist()], pa.list_(pa.float64()))], names=names))
+    seen = [t.num_rows for t in pc._runs(iter(batches), ["graph_id"], 16)]
+    assert sum(seen) <= 8
+    out = pa.Table.from_batches(list(pc._merge(["graph_id"], 16)(iter(batches)))).to_pylist()
+    assert len(out) == 1 and out[0]["n"] == 6400
+    row = out[0]
+    for p, q in zip(pc.PERCENTILES, pc.quantiles(np.array(row["part"]), np.array(row["levels"]), np.array(row["full"]), np.array(pc.PERCENTILES) / 100, 16), strict=True):
+        assert rank_error(values, q, p / 100) <= row["moved"] / 6400
