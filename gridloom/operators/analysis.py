@@ -80,13 +80,17 @@ def renewal(events: DataFrame, key: str, at: str, order: str, down: Column) -> D
 
 
 def optimal_expression(n: Column, r: Column, p: float, sources: int = 1) -> Column:
-    """Loss of the best network of ``n`` nodes and redundancy ``r``: chains of equal length between forks."""
-    inner = n - F.lit(sources)
-    forks = F.when(r > 1, 2 * (r - 1)).when(r == 1, F.lit(1)).otherwise(inner)
-    chains = F.when(r > 1, 3 * (r - 1) + F.lit(sources - 1)).when(r == 1, F.lit(1)).otherwise(inner - 1)
-    length, longer = F.floor((inner - forks) / chains), F.pmod(inner - forks, chains)
-    loss = lambda x: F.lit(p * p) * (x * x * x + 3 * x * x + 2 * x) / 6
-    return (loss(length.cast("double")) * (chains - longer) + loss(length.cast("double") + 1) * longer) / n
+    """Loss of the best network of ``n`` nodes and redundancy ``r``: chains of equal length between forks, none longer than another by two.
+
+    A redundancy of 1 is one ring; without redundancy no chain has inner nodes and the form gives 0.
+    """
+    further = F.greatest(r - 1, F.lit(0))
+    forks, chains = F.greatest(2 * further, F.lit(1)), F.when(further > 0, 3 * further + F.lit(sources - 1)).otherwise(F.lit(1))
+    inner = n - F.lit(sources) - forks
+    cubic = lambda x: x * (x + 1) * (x + 2)
+    length = F.floor(inner / chains).cast("double")
+    total = cubic(length) * chains + (cubic(length + 1) - cubic(length)) * F.pmod(inner, chains)
+    return F.when(r < 1, 0.0).otherwise(F.lit(p * p / 6) * total / n)
 
 
 def solve_rate(lengths: DataFrame, key: str, length: str, target: float, rounds: int = 6, grid: int = 48) -> DataFrame:

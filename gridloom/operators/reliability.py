@@ -1,4 +1,9 @@
-"""Exact reliability: state enumeration in expressions, and a frontier kernel per graph."""
+"""Exact reliability: state enumeration in expressions, and kernels per graph.
+
+Graphs that are enumerated stay in column expressions. All others take the junction tree of
+:mod:`gridloom.operators.junction`, and those of too large bags the frontier below, whose tables
+hold only the partitions that occur. Neither has a bound on the edges but time and memory.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Graphs with more edges, or with a position above the last bit that a mask has for nodes, take the frontier kernel.
+from gridloom.operators.junction import LARGEST_BAG, Coefficients, Junction, Values
+
+#: Graphs with more edges, or with a position above the last bit that a mask has for nodes, take a kernel.
 MAX_ENUMERATED, MAX_POSITION = 16, 62
 
 
@@ -223,16 +230,6 @@ def whole_graph(nodes: list, edges: list[tuple]) -> tuple[float, float]:
     return float(apart), float(1 - pairs / (len(nodes) * (len(nodes) - 1) / 2))
 
 
-def saidi(weights: dict, cut_off: dict, source, algebra):
-    """Weighted mean of the nodes' probabilities, the source having no weight; zero weight gives zero."""
-    total = sum(w for n, w in weights.items() if n != source)
-    out = algebra.zero
-    for n, q in cut_off.items():
-        if n != source:
-            out = algebra.add(out, q * (weights.get(n, 1.0) / total if total else 0.0))
-    return out
-
-
 def exact(nodes: DataFrame, edges: DataFrame, p_grid: list[float] | None = None, polynomial: bool = False, max_fail: int | None = None) -> DataFrame:
     """``graph_id, node, q``: probability of being cut off, one entry per value of ``p_grid`` or coefficient.
 
@@ -249,14 +246,26 @@ def exact(nodes: DataFrame, edges: DataFrame, p_grid: list[float] | None = None,
         source = min(sources) if sources else None
         name = lambda n: source if n in sources else n
         ids = sorted({name(int(n)) for n in points.u} | {name(int(n)) for n in [*links.u, *links.v]})
-        algebra = Polynomials(max_fail) if polynomial else Numbers(len(p_grid) if p_grid else 1)
         given = (lambda p: [0.0, 1.0]) if polynomial else (lambda p: p_grid) if p_grid else (lambda p: p)
         rows = [(name(int(u)), name(int(v)), given(p)) for u, v, p in zip(links.u, links.v, links.prob, strict=True)]
-        cut_off = disconnection(ids, rows, source, algebra)
+        top = len(rows) if max_fail is None else min(max_fail, len(rows))
+        width = top + 1 if polynomial else len(p_grid) if p_grid else 1
+        cut_off = lost(ids, rows, source, Coefficients(top) if polynomial else Values(width))
         everyone = sorted({int(n) for n in points.u} | {int(n) for n in [*links.u, *links.v]})
-        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "node": everyone, "q": [list(map(float, cut_off[name(n)])) for n in everyone]})
+        return pd.DataFrame({"graph_id": pdf.graph_id.iloc[0], "node": everyone, "q": [np.asarray(cut_off[name(n)], dtype=float).tolist() for n in everyone]})
+
+    return tagged.groupBy("graph_id").applyInPandas(run, f"graph_id {edges.schema['graph_id'].dataType.simpleString()}, node bigint, q array<double>")
 
-    return tagged.groupBy("graph_id").applyInPandas(run, "graph_id bigint, node bigint, q array<double>")
+
+def lost(nodes: list, edges: list[tuple], source, algebra) -> dict:
+    """Probability that each node is cut off from ``source``, by the junction tree or, where a bag is too large, by the frontier."""
+    if source is None:
+        return {n: algebra.one for n in nodes}
+    tree = Junction(nodes, edges, source)
+    if tree.largest <= LARGEST_BAG:
+        return tree.cut_off(algebra)
+    frontier = Polynomials(algebra.width - 1) if isinstance(algebra, Coefficients) else Numbers(algebra.width)
+    return {n: algebra.given(q) for n, q in disconnection(nodes, edges, source, frontier).items()}
 
 
 # --- indexes of graphs of any size: states of small ones, the kernel for the others ---
@@ -296,7 +305,7 @@ def _solve_saidi(weights: dict, rows: list[tuple], sources: set):
     source = min(sources) if sources else None
     name = lambda n: source if n in sources else n
     merged = [(name(u), name(v), p) for _, u, v, p in rows]
-    cut_off = disconnection(sorted({name(n) for n in _ids(weights, rows)}), merged, source, Numbers(1))
+    cut_off = lost(sorted({name(n) for n in _ids(weights, rows)}), merged, source, Values(1))
     known = {n: w for n, w in weights.items() if n not in sources}
     total = sum(known.values())
     yield (sum(w * float(cut_off[n][0]) for n, w in known.items()) / total if total else 0.0,)
@@ -310,11 +319,21 @@ def _solve_edges(weights: dict, rows: list[tuple], sources: set):
     if source is None:
         yield from ((e, u, v, 1.0, 0.0, 0.0, 0.0) for e, u, v, _ in rows)
     else:
-        yield from ((e, u, v, *ends) for (e, u, v, _), ends in zip(rows, edge_ends(ids, merged, source), strict=True))
+        tree = Junction(ids, merged, source)
+        ends = ([float(x[0]) for x in four] for four in tree.edge_ends(Values(1))) if tree.largest <= LARGEST_BAG else edge_ends(ids, merged, source)
+        yield from ((e, u, v, *four) for (e, u, v, _), four in zip(rows, ends, strict=True))
 
 
 def _solve_whole(weights: dict, rows: list[tuple], sources: set):
-    yield whole_graph(_ids(weights, rows), [(u, v, p) for _, u, v, p in rows])
+    ids, links = _ids(weights, rows), [(u, v, p) for _, u, v, p in rows]
+    tree = Junction(ids, links, ids[0]) if len(ids) > 1 else None
+    # small bags: one pass with the sizes of the blocks; larger ones: every node in turn as source
+    if tree is None or tree.largest <= 4 or tree.largest > LARGEST_BAG:
+        yield whole_graph(ids, links)
+        return
+    one = Values(1)
+    loss = sum(float(q[0]) for source in ids for q in Junction(ids, links, source).cut_off(one).values())
+    yield float(tree.apart(one)[0]), loss / (len(ids) * (len(ids) - 1))
 
 
 def saidi_exact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -358,17 +377,3 @@ def edges_rel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     share = lambda ru, rv: F.sum(F.when((F.col("ru") == ru) & (F.col("rv") == rv), F.col("q")).otherwise(0.0))
     small = k.groupBy("graph_id", "edge_id", "u", "v").agg(share(0, 0).alias("neither"), share(1, 0).alias("only_u"), share(0, 1).alias("only_v"), share(1, 1).alias("both_ends"))
     return small.unionByName(_kernel(large_n, large_e, "edge_id bigint, u bigint, v bigint, neither double, only_u double, only_v double, both_ends double", _solve_edges))
-
-
-def optimal_closed_form(n_nodes: int, r: int, p: float, n_sources: int = 1) -> float:
-    """Expected loss of the best network of given size and redundancy: chains of equal length between forks."""
-    n = n_nodes - n_sources
-    if r > 1:
-        forks, chains = 2 * (r - 1), 3 * (r - 1) + n_sources - 1
-    elif r == 1:
-        forks, chains = 1, 1
-    else:
-        forks, chains = n, n - 1
-    length, longer = divmod(n - forks, chains)
-    loss = lambda x: p * p * (x**3 + 3 * x**2 + 2 * x) / 6
-    return (loss(length) * (chains - longer) + loss(length + 1) * longer) / n_nodes

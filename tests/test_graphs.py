@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import analysis, design, graphs, reliability, simulation
+from gridloom.operators import analysis, design, graphs, junction, reliability, simulation
 from gridloom.sources import synthetic
 
 EDGES = "u bigint, v bigint"
@@ -175,3 +175,48 @@ def test_synthetic(spark):
     assert tree.count() == 14 and {r.degree for r in graphs.degrees(tree).collect()} == {1, 2, 3}
     assert len(set(r.component for r in graphs.components(synthetic.random_tree(spark, 40)).collect())) == 1
     assert {r.degree for r in graphs.degrees(synthetic.random_regular(spark, 20, 3)).collect()} == {3}
+
+
+def grid(n):
+    across = [(r * n + c, r * n + c + 1, 0.1) for r in range(n) for c in range(n - 1)]
+    return list(range(n * n)), across + [(r * n + c, (r + 1) * n + c, 0.1) for r in range(n - 1) for c in range(n)]
+
+
+def test_junction_trees_of_grids_and_rings():
+    ring = list(range(150)), [(i, (i + 1) % 150, 0.01) for i in range(150)]
+    q = junction.Junction(*ring, 0).cut_off(junction.Values(1))
+    assert all(q[i][0] == pytest.approx((1 - 0.99**i) * (1 - 0.99 ** (150 - i)), abs=1e-12) for i in range(150))
+    nodes, edges = grid(5)
+    tree = junction.Junction(nodes, edges, 0)
+    q = tree.cut_off(junction.Values(1))
+    frontier = reliability.disconnection(nodes, edges, 0, reliability.Numbers(1), keep=(0, 24))
+    assert q[24][0] == pytest.approx(sum(v[0] for part, v in frontier.items() if not part), abs=1e-12)
+    assert tree.apart(junction.Values(1))[0] == pytest.approx(reliability.whole_graph(nodes, edges)[0], abs=1e-12)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_junction_tree_against_all_states(seed):
+    from test_whole import enumerated
+
+    rng = random.Random(seed)
+    nodes = list(range(6))
+    edges = [(rng.randrange(6), rng.randrange(6), rng.choice([0.1, 0.35, 0.8, 1.0])) for _ in range(9)]
+    tree, one = junction.Junction(nodes, edges, 0), junction.Values(1)
+    beliefs = tree.beliefs(one)
+    saidi, apart, loss, ends = enumerated(nodes, edges, dict.fromkeys(nodes, 1.0))
+    assert sum(q[0] for q in tree.cut_off(one, beliefs).values()) / 5 == pytest.approx(saidi, abs=1e-12)
+    assert tree.apart(one)[0] == pytest.approx(apart, abs=1e-12)
+    for got, want in zip(tree.edge_ends(one, beliefs), ends, strict=True):
+        assert [float(x[0]) for x in got] == pytest.approx(want, abs=1e-12)
+    every = junction.Junction(nodes, [(u, v, [0.0, 1.0]) for u, v, _ in edges], 0).cut_off(junction.Coefficients(9))
+    same = junction.Junction(nodes, [(u, v, 0.2) for u, v, _ in edges], 0).cut_off(one)
+    assert all(sum(c * 0.2**k for k, c in enumerate(every[n])) == pytest.approx(same[n][0], abs=1e-12) for n in nodes)
+
+
+def test_graphs_of_large_bags_take_the_frontier(monkeypatch):
+    nodes, edges = grid(4)
+    want = reliability.lost(nodes, edges, 0, junction.Values(2))
+    monkeypatch.setattr(reliability, "LARGEST_BAG", 2)
+    got = reliability.lost(nodes, edges, 0, junction.Values(2))
+    assert all(got[n] == pytest.approx(want[n], abs=1e-12) for n in nodes)
+    assert reliability.lost([1, 2], [], None, junction.Values(1)) == {1: 1.0, 2: 1.0}
