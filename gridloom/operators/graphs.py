@@ -51,7 +51,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
 
 
 def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """``node, depth`` of the nodes that ``sources`` (``node``) reach."""
+    """``node, depth`` of the nodes that ``sources`` (``node``) reach; nodes beyond ``max_depth`` levels are an error."""
     links = both_ways(edges).distinct()
     reached = cut(sources.select("node").distinct().withColumn("depth", F.lit(0)))
     front = reached
@@ -61,6 +61,8 @@ def bfs(edges: DataFrame, sources: DataFrame, max_depth: int = 10_000) -> DataFr
         if front.isEmpty():
             break
         reached = cut(reached.unionByName(front)) if depth % 8 == 0 else reached.unionByName(front)
+    else:
+        raise RuntimeError(f"nodes lie beyond {max_depth} levels")
     return reached
 
 
@@ -102,11 +104,12 @@ def skeleton(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     owner = F.when(F.col("in_u"), F.col("u")).when(F.col("in_v"), F.col("v"))
     owned = flags.withColumn("node", owner).join(labels, "node", "left")
     chained = owned.where("component is not null")
+    # a chain has two ends, or none where it is a cycle: the least and the greatest of them are all
     ends = F.array_compact(F.array(F.when(~F.col("in_u"), F.col("u")), F.when(~F.col("in_v"), F.col("v"))))
     chains = chained.groupBy(F.col("component").alias("chain")).agg(
-        F.sort_array(F.flatten(F.collect_list(ends))).alias("ends"), F.count("*").alias("n_edges"), (1 - F.product(1 - F.col("prob"))).alias("fail"), F.sum("length").alias("length")
+        F.min(F.array_min(ends)).alias("a"), F.max(F.array_max(ends)).alias("b"), F.count("*").alias("n_edges"), (1 - F.product(1 - F.col("prob"))).alias("fail"), F.sum("length").alias("length")
     )
-    whole = chains.where("size(ends) = 2").select("chain", F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b"), "n_edges", "fail", "length")
+    whole = chains.where("a is not null").select("chain", "a", "b", "n_edges", "fail", "length")
     plain = owned.where("component is null").select(F.lit(None).cast("bigint").alias("chain"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.lit(1).cast("bigint").alias("n_edges"), F.col("prob").alias("fail"), "length")
     return whole.unionByName(plain)
 
@@ -128,39 +131,69 @@ def spanning_tree(edges: DataFrame, weight: str = "weight", max_rounds: int = 40
         joined = components(best.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
         label = cut(label.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left").select("node", F.coalesce("wider", "component").alias("component")))
         rows = named.drop("cu", "cv")
+    else:
+        raise RuntimeError(f"the forest did not settle in {max_rounds} rounds")
     return chosen if chosen is not None else rows.limit(0)
 
 
+#: Points of a grid cell above which its probing points are divided over tasks.
+DENSE = 50_000
+
+
 def range_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """``a, b, d``: pairs of ``points`` (``id, x, y``) at most ``radius`` apart, by equi-joins on grid cells."""
+    """``a, b, d``: pairs of ``points`` (``id, x, y``) at most ``radius`` apart, by equi-joins on grid cells.
+
+    A cell of more than ``DENSE`` points is divided by its probing points, each part meeting the whole cell; there is at most
+    one such cell for every so many points, so their list is small. Points without position give no row.
+    """
     cell = lambda c: F.floor(F.col(c) / radius).cast("bigint")
-    home = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    dense = cut(placed.groupBy("cx", "cy").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("cx", "cy", F.ceil(F.col("n") / DENSE).cast("int").alias("parts")))
+    divided = lambda df: df.join(F.broadcast(dense), ["cx", "cy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    home = divided(placed.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cx", "cy")).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = points.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("c"), cell("y").alias("r"), F.explode(offsets).alias("o"))
-    around = around.select("b", "bx", "by", (F.col("c") + F.col("o.i")).alias("cx"), (F.col("r") + F.col("o.j")).alias("cy"))
+    around = placed.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("cx").alias("c"), F.col("cy").alias("r"), F.explode(offsets).alias("o"))
+    around = divided(around.select("b", "bx", "by", (F.col("c") + F.col("o.i")).alias("cx"), (F.col("r") + F.col("o.j")).alias("cy")))
+    around = around.select("b", "bx", "by", "cx", "cy", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return home.join(around, ["cx", "cy"]).where("a < b").select("a", "b", d.alias("d")).where(F.col("d") <= radius)
+    return home.join(around, ["cx", "cy", "part"]).where("a < b").select("a", "b", d.alias("d")).where(F.col("d") <= radius)
 
 
-def nearest(left: DataFrame, right: DataFrame, start: float, max_rounds: int = 30) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, start: float) -> DataFrame:
     """``a, b, d``: for each point of ``left`` the nearest of ``right``, the smaller id in ties.
 
     Cells of a grid are joined with those around them; points whose nearest found lies beyond
-    the cell size, or that found none, go into the next round with cells twice as large.
+    the cell size, or that found none, go into the next round with larger cells, until a cell covers all points of both
+    sides. For such far points the occupied cells of a grid eight times as fine are weighed first: only points of cells
+    that can hold the nearest are joined. Points without position give no row, nor does an empty ``right``.
     """
-    open_ones, done, size = cut(left.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))), None, start
-    for _ in range(max_rounds):
-        cell = lambda c, s=size: F.floor(F.col(c) / s).cast("bigint")
-        offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        probes = open_ones.select("a", "ax", "ay", F.explode(offsets).alias("o"))
-        probes = probes.select("a", "ax", "ay", (F.floor(F.col("ax") / size).cast("bigint") + F.col("o.i")).alias("cx"), (F.floor(F.col("ay") / size).cast("bigint") + F.col("o.j")).alias("cy"))
-        held = right.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")).withColumns({"cx": cell("bx"), "cy": cell("by")})
-        d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-        best = probes.join(held, ["cx", "cy"]).groupBy("a").agg(F.min(F.struct(d.alias("d"), "b")).alias("m")).select("a", "m.b", "m.d").where(F.col("d") <= size)
-        best = cut(best)
+    known = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    right = cut(right.where(known).select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by")))
+    open_ones = cut(left.where(known).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay")))
+    bounds = right.selectExpr("bx as x", "by as y").unionByName(open_ones.selectExpr("ax as x", "ay as y")).selectExpr("max(x) - min(x) as w", "max(y) - min(y) as h").first()
+    extent, done, size, first = max(bounds.w or 0.0, bounds.h or 0.0), None, start, True
+    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    d = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    while True:
+        at = lambda c, s: F.floor(F.col(c) / F.lit(s)).cast("bigint")
+        probes = open_ones.select("a", "ax", "ay", at("ax", size).alias("c"), at("ay", size).alias("r"), F.explode(offsets).alias("o")).select("a", "ax", "ay", (F.col("c") + F.col("o.i")).alias("cx"), (F.col("r") + F.col("o.j")).alias("cy"))
+        if first:
+            pairs = probes.join(right.withColumns({"cx": at("bx", size), "cy": at("by", size)}), ["cx", "cy"])
+        else:
+            fine = size / 8
+            cells = right.select(at("bx", fine).alias("fx"), at("by", fine).alias("fy")).distinct().withColumns({"cx": F.floor(F.col("fx") / 8), "cy": F.floor(F.col("fy") / 8)})
+            low = lambda p, f: F.greatest(F.col(f) * fine - F.col(p), F.col(p) - (F.col(f) + 1) * fine, F.lit(0.0))  # noqa: E731, B023
+            high = lambda p, f: F.greatest(F.abs(F.col(f) * fine - F.col(p)), F.abs((F.col(f) + 1) * fine - F.col(p)))  # noqa: E731, B023
+            weighed = probes.join(cells, ["cx", "cy"]).withColumns({"low": F.hypot(low("ax", "fx"), low("ay", "fy")), "high": F.hypot(high("ax", "fx"), high("ay", "fy"))})
+            reach = weighed.groupBy("a").agg(F.min("high").alias("reach"))
+            held = weighed.join(reach, "a").where(F.col("low") <= F.col("reach") * (1 + 1e-9)).select("a", "ax", "ay", "fx", "fy")
+            pairs = held.join(right.withColumns({"fx": at("bx", fine), "fy": at("by", fine)}), ["fx", "fy"])
+        best = cut(pairs.groupBy("a").agg(F.min(F.struct(d.alias("d"), "b")).alias("m")).select("a", "m.b", "m.d").where(F.col("d") <= size))
         done = best if done is None else done.unionByName(best)
+        # beyond this size every point of right lies within a cell and its neighbours
+        if size >= 2 * extent:
+            return done
         open_ones = cut(open_ones.join(best, "a", "left_anti"))
         if open_ones.isEmpty():
-            break
-        size *= 2
-    return done
+            return done
+        size, first = size * (2 if first else 8), False

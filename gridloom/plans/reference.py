@@ -214,11 +214,15 @@ def exact_over_p(spark, sf_dir):
     return q.select("graph_id", "node", F.posexplode("q").alias("k", "v")).select("graph_id", "node", F.array(*map(F.lit, grid))[F.col("k")].alias("p"), r("v").alias("q"))
 
 
-@query()
+@query(f"""WITH {STATES} x AS (SELECT 1), f AS (SELECT state, 10 - bit_count(state) AS down FROM (SELECT DISTINCT state FROM s)),
+k AS (SELECT m4.g, i, down, sum(CASE WHEN (mask >> i) & 1 = 0 THEN 1 ELSE 0 END) AS c FROM m4 JOIN f USING (state) JOIN idx ON idx.g = m4.g WHERE st = 0 GROUP BY m4.g, i, down),
+t AS (SELECT g, i, down + j AS power, c * (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * factorial(CAST(10 - down AS INTEGER)) / (factorial(CAST(j AS INTEGER)) * factorial(CAST(10 - down - j AS INTEGER))) AS x FROM k CROSS JOIN range(0, 11) r(j) WHERE j <= 10 - down)
+SELECT g AS graph_id, i AS node, CAST(power AS BIGINT) AS power, round(CAST(sum(x) AS DOUBLE), 6) + 0 AS coef FROM t GROUP BY g, i, power""")
 def exact_polynomial(spark, sf_dir):
     """Coefficients in p of each node's probability, all powers."""
     nodes, edges = region_edges(spark, sf_dir)
-    return reliability.exact(nodes, edges, polynomial=True).select("graph_id", "node", F.posexplode("q").alias("power", "coef"))
+    every = reliability.exact(nodes, edges, polynomial=True).select("graph_id", "node", F.posexplode("q").alias("power", "coef"))
+    return every.select("graph_id", "node", F.col("power").cast("bigint").alias("power"), (r("coef", 6) + 0).alias("coef"))
 
 
 # --- graphs ----------------------------------------------------------------------------------
@@ -252,7 +256,8 @@ def components(spark, sf_dir):
     return graphs.components(near(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v")), p.select(F.col("id").alias("node")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {REACH}, bf(node, depth) AS (SELECT DISTINCT component, 0 FROM co JOIN two USING (node) UNION SELECT other, depth + 1 FROM bf JOIN two USING (node) WHERE depth < (SELECT max(n) FROM (SELECT count(*) AS n FROM co GROUP BY component)))
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM bf GROUP BY node""")
 def bfs_depth(spark, sf_dir):
     """Depth of each point from the smallest of its component."""
     edges = near(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -348,22 +353,13 @@ def inter_risk(spark, sf_dir):
     return points(spark, sf_dir).groupBy("label").agg(n.alias("l"), ((n - 1) * n * (n + 1) / 6).alias("risk"))
 
 
-@query(f"""WITH {POINTS}, c AS (SELECT label, count(*) AS l FROM pt GROUP BY label), h AS (SELECT sum((l - 1) * l * (l + 1) / 6) AS h0 FROM c)
-SELECT x.label AS chain_from, y.label AS chain_to, i, round((((y.l - i - 1) * (y.l - i) * (y.l - i + 1) - (y.l - 1) * y.l * (y.l + 1) + (x.l + i - 1) * (x.l + i) * (x.l + i + 1) - (x.l - 1) * x.l * (x.l + 1)) / 6) / h0, 9) AS d_risk
-FROM c x JOIN c y ON x.label <> y.label CROSS JOIN (SELECT unnest([1, 2, 3]) AS i) CROSS JOIN h WHERE i < y.l""")
-def rewire_candidates(spark, sf_dir):
-    """Change of risk when the first i nodes of one chain move to another, for i up to three; ``rewire_all_candidates`` has every i."""
-    pairs = _chain_pairs(spark, sf_dir)
-    return _moved_risk(pairs.withColumn("i", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("i < l2"))
-
-
 #: Positions of a chain that one row gives at a time.
 POSITIONS = 1 << 16
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT label, count(*) AS l FROM pt GROUP BY label), h AS (SELECT sum((l - 1) * l * (l + 1) / 6) AS h0 FROM c), m AS (SELECT x.label AS chain_from, y.label AS chain_to, x.l AS l1, y.l AS l2, unnest(range(1, y.l)) AS i FROM c x JOIN c y ON x.label <> y.label)
 SELECT chain_from, chain_to, i, round((((l2 - i - 1) * (l2 - i) * (l2 - i + 1) - (l2 - 1) * l2 * (l2 + 1) + (l1 + i - 1) * (l1 + i) * (l1 + i + 1) - (l1 - 1) * l1 * (l1 + 1)) / 6) / h0, 9) AS d_risk FROM m CROSS JOIN h""")
-def rewire_all_candidates(spark, sf_dir):
+def rewire_candidates(spark, sf_dir):
     """Change of risk for every move between two chains, i from 1 to one less than the second chain's length.
 
     Long chains are divided, so that no row holds more than ``POSITIONS`` positions and one pair is spread over tasks.
@@ -673,42 +669,6 @@ def poly_to_binom(spark, sf_dir):
     return b.select("n_nationkey", F.col("i").cast("bigint").alias("i"), "coef")
 
 
-def _triangles(spark, sf_dir):
-    """The three edges between the first three nations of each region as partition tables."""
-    _, e = region_edges(spark, sf_dir)
-    e = e.where("v < 3").withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy("u", "v")))
-    mask = F.expr("shiftleft(1L, int(u)) | shiftleft(1L, int(v))")
-    both = F.array(F.struct(F.array(mask).alias("part"), (1 - F.col("prob")).alias("q")), F.struct(F.array().cast("array<bigint>").alias("part"), F.col("prob").alias("q")))
-    return e.select("graph_id", "k", F.inline(both))
-
-
-def _triangle_product(spark, sf_dir):
-    t = _triangles(spark, sf_dir)
-    side = lambda k, s: t.where(F.col("k") == k).select("graph_id", F.col("part").alias(f"p{s}"), F.col("q").alias(f"q{s}"))
-    whole = side(1, "a").join(side(2, "b"), "graph_id").select("graph_id", prob.blocks_merge(F.col("pa"), F.col("pb")).alias("pa"), (F.col("qa") * F.col("qb")).alias("qa"))
-    whole = whole.groupBy("graph_id", "pa").agg(F.sum("qa").alias("qa")).join(side(3, "c"), "graph_id")
-    whole = whole.select("graph_id", prob.blocks_merge(F.col("pa"), F.col("pc")).alias("part"), (F.col("qa") * F.col("qc")).alias("q"))
-    return whole.groupBy("graph_id", "part").agg(F.sum("q").alias("q"))
-
-
-TRIANGLE = """WITH idx AS (SELECT n_nationkey nk, n_regionkey g, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
-e AS (SELECT a.g, a.i AS u, b.i AS v, (1 + (a.nk + 2 * b.nk) % 5) * 1e-2 AS p FROM idx a JOIN idx b ON a.g = b.g AND a.i < b.i),
-t AS (SELECT g, max(CASE WHEN u = 0 AND v = 1 THEN p END) AS x, max(CASE WHEN u = 0 AND v = 2 THEN p END) AS y, max(CASE WHEN u = 1 AND v = 2 THEN p END) AS z FROM e GROUP BY g)"""
-
-
-@query(f"""{TRIANGLE} SELECT g AS graph_id, '' AS part, round(x * y * z, 9) AS q FROM t UNION ALL SELECT g, '3', round((1 - x) * y * z, 9) FROM t UNION ALL SELECT g, '5', round(x * (1 - y) * z, 9) FROM t
-UNION ALL SELECT g, '6', round(x * y * (1 - z), 9) FROM t UNION ALL SELECT g, '7', round((1 - x) * (1 - y) + (1 - x) * y * (1 - z) + x * (1 - y) * (1 - z), 9) FROM t""")
-def partition_product(spark, sf_dir):
-    return _triangle_product(spark, sf_dir).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
-
-
-@query(f"{TRIANGLE} SELECT g AS graph_id, '' AS part, round(y * (1 - (1 - x) * (1 - z)), 9) AS q FROM t UNION ALL SELECT g, '5', round(1 - y * (1 - (1 - x) * (1 - z)), 9) FROM t")
-def partition_project(spark, sf_dir):
-    """The triangle's partitions cut down to its first and last node."""
-    cut = _triangle_product(spark, sf_dir).select("graph_id", prob.blocks_project(F.col("part"), F.lit(5).cast("bigint")).alias("part"), "q")
-    return cut.groupBy("graph_id", "part").agg(F.sum("q").alias("q")).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
-
-
 def _edge_partitions(spark, sf_dir) -> DataFrame:
     """Every edge of each region as a partition table: its two ends linked, or nothing."""
     _, e = region_edges(spark, sf_dir)
@@ -734,13 +694,13 @@ pa AS (SELECT s.g, s.state, coalesce(string_agg(CAST(mask AS VARCHAR), ',' ORDER
 
 
 @query(f"{PARTITIONS} SELECT g AS graph_id, part, round(sum(prob), 9) AS q FROM pa JOIN pr USING (g, state) GROUP BY g, part")
-def partition_product_whole(spark, sf_dir):
+def partition_product(spark, sf_dir):
     """The partitions of all nations of a region by all its edges."""
     return _whole_product(spark, sf_dir).select("graph_id", F.array_join(F.col("part").cast("array<string>"), ",").alias("part"), r("q").alias("q"))
 
 
 @query(f"{PARTITIONS} SELECT g AS graph_id, CASE WHEN linked THEN CAST(ends AS VARCHAR) ELSE '' END AS part, round(sum(prob), 9) AS q FROM pa JOIN pr USING (g, state) GROUP BY 1, 2")
-def partition_project_whole(spark, sf_dir):
+def partition_project(spark, sf_dir):
     """The whole graph's partitions cut down to its first and last node."""
     nodes, _ = region_edges(spark, sf_dir)
     ends = nodes.groupBy("graph_id").agg(F.expr("1L | shiftleft(1L, int(max(node)))").alias("ends"))

@@ -6,18 +6,16 @@ from collections import Counter
 
 import pytest
 
-from gridloom.operators import reliability, schema_drift, simulation
+from gridloom.operators import graphs, reliability, schema_drift, simulation
 from gridloom.plans import reference
 
 
 def test_every_position_of_a_chain_is_a_candidate(spark, small, monkeypatch):
     monkeypatch.setattr(reference, "POSITIONS", 7)  # chains of several parts
     size = Counter(r.label for r in reference.points(spark, small).collect())
-    got = {(r.chain_from, r.chain_to, r.i): r.d_risk for r in reference.rewire_all_candidates(spark, small).collect()}
+    got = {(r.chain_from, r.chain_to, r.i): r.d_risk for r in reference.rewire_candidates(spark, small).collect()}
     assert set(got) == {(a, b, i) for a in size for b in size if a != b for i in range(1, size[b])}
     assert max(i for _, _, i in got) > 3
-    first = {(r.chain_from, r.chain_to, r.i): r.d_risk for r in reference.rewire_candidates(spark, small).collect()}
-    assert first.items() <= got.items()
     h = lambda x: (x - 1) * x * (x + 1) / 6
     total = sum(h(x) for x in size.values())
     for (a, b, i), d in got.items():
@@ -131,5 +129,32 @@ def test_chains_of_renames_of_any_length(spark):
 
 
 def test_partitions_of_whole_regions(spark, small):
-    size = Counter(r.graph_id for r in reference.partition_product_whole(spark, small).collect())
+    size = Counter(r.graph_id for r in reference.partition_product(spark, small).collect())
     assert size == dict.fromkeys(range(5), 52)  # all partitions of five nodes
+
+
+def test_far_points_have_a_nearest(spark):
+    a = spark.createDataFrame([(1, 1e9, 0.0), (2, 0.0, 0.0), (3, -3.0, 4e6), (4, None, 1.0)], "id bigint, x double, y double")
+    b = spark.createDataFrame([(10, 0.5, 0.5), (11, 1.0, -2.0), (12, 5e5, 1.0), (13, 0.5, 0.5)], "id bigint, x double, y double")
+    got = {r.a: (r.b, r.d) for r in graphs.nearest(a, b, 0.01).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: 12, 2: 10, 3: 10} and got[1][1] == pytest.approx(1e9 - 5e5)
+    assert graphs.nearest(a, b.where("false"), 0.01).count() == 0 and graphs.nearest(a.where("false"), b, 0.01).count() == 0
+
+
+def test_levels_and_rounds_beyond_the_limit_are_errors(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)], "u bigint, v bigint, weight double")
+    start = spark.createDataFrame([(0,)], "node bigint")
+    assert graphs.bfs(path, start, max_depth=9).count() == 9
+    with pytest.raises(RuntimeError, match="beyond 5 levels"):
+        graphs.bfs(path, start, max_depth=5)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        graphs.spanning_tree(path, max_rounds=1)
+
+
+def test_dense_cells_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "DENSE", 10)
+    rng = random.Random(4)
+    points = [(i, rng.random() * (0.1 if i % 3 else 3), rng.random() * (0.1 if i % 3 else 3)) for i in range(150)]
+    got = [(r.a, r.b) for r in graphs.range_pairs(spark.createDataFrame(points, "id bigint, x double, y double"), 0.07).collect()]
+    want = {(p[0], q[0]) for p in points for q in points if p[0] < q[0] and ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) ** 0.5 <= 0.07}
+    assert len(got) == len(set(got)) and set(got) == want
