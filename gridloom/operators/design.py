@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.networks import bridges_of
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
@@ -309,38 +311,9 @@ def improve_trees(points: DataFrame, r: int, quantile: float = 0.3) -> DataFrame
 def bridges(edges: DataFrame) -> DataFrame:
     """``graph_id, u, v`` of the edges whose loss splits their graph; parallel edges are none. One graph is one group."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, int]]] = {}
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = list(zip(pdf.u, pdf.v, strict=True))
-        for i, (a, b) in enumerate(pairs):
-            if a != b:
-                near.setdefault(a, []).append((b, i))
-                near.setdefault(b, []).append((a, i))
-        depth: dict[int, int] = {}
-        low: dict[int, int] = {}
-        found = []
-        for root in near:
-            if root in depth:
-                continue
-            depth[root] = low[root] = 0
-            stack = [(root, -1, iter(near[root]))]
-            while stack:
-                x, via, rest = stack[-1]
-                for y, i in rest:
-                    if i == via:
-                        continue
-                    if y in depth:
-                        low[x] = min(low[x], depth[y])
-                        continue
-                    depth[y] = low[y] = depth[x] + 1
-                    stack.append((y, i, iter(near[y])))
-                    break
-                else:
-                    stack.pop()
-                    if stack:
-                        low[stack[-1][0]] = min(low[stack[-1][0]], low[x])
-                        if low[x] == depth[x]:
-                            found.append(pairs[via])
-        return pd.DataFrame([(pdf.graph_id.iloc[0], min(p), max(p)) for p in found], columns=["graph_id", "u", "v"])
+        found = [pairs[i] for i in bridges_of(pairs)]
+        return pd.DataFrame({"graph_id": key[0], "u": [min(p) for p in found], "v": [max(p) for p in found]})
 
     return edges.select("graph_id", "u", "v").groupBy("graph_id").applyInPandas(run, "graph_id bigint, u bigint, v bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import nested, orphans, schema_drift, spatial
+from gridloom.plans.network_queries import CELLS
 from gridloom.session import spread_out, table
 
 NEAR_METRES = 25.0
@@ -47,18 +48,6 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.edge_ends(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")))
 
 
-def p3_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "networks")
-
-
-def p3_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "nodes")
-
-
-def p3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(spread_out(table(spark, sf_dir, "networks").select("rec_id", "graph", "optimal_network")), "edges")
-
-
 def _tracker(spark: SparkSession, sf_dir: str) -> orphans.OrphanTracker:
     refs = orphans.references_of(table(spark, sf_dir, "capacitors"), "capacitors", "cap_id", ["node"])
     refs = refs.unionByName(orphans.references_of(table(spark, sf_dir, "voltage_regulators"), "voltage_regulators", "reg_id", ["node_a", "node_b"]))
@@ -83,7 +72,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.near_and_in(points, regions, NEAR_METRES)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_runs, p2_values, p3_found, p3_networks, p3_nodes, p3_edges, p4_found, p4_counts, p4_snapshots, p5_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changes, p2_runs, p2_values, p3_found, p4_found, p4_counts, p4_snapshots, p5_found)}
 
 
 _ORPHANS = """WITH nd AS (SELECT DISTINCT graph_id, lower(trim(label, chr(32) || chr(9) || chr(10) || chr(13))) AS k, created_at, deleted_at FROM nodes WHERE label IS NOT NULL AND graph_id IS NOT NULL),
@@ -107,17 +96,6 @@ def _after(batch: int, batches: int = 3) -> str:
     return f"SELECT * FROM (WITH {spans}, {upto}, {rest} SELECT CAST({batch} AS BIGINT) AS batch, ref_table, field, kind, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM op GROUP BY 1, 2, 3, 4, 5)"
 
 
-_EDGES = """WITH RECURSIVE cell(rec_id, root, prefix, c) AS (
- SELECT rec_id, root, '' AS prefix, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END ELSE j END AS c
- FROM (SELECT rec_id, root, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM (SELECT rec_id, 'graph' AS root, graph AS t FROM networks UNION ALL SELECT rec_id, 'optimal_network', optimal_network FROM networks))
- UNION ALL
- SELECT rec_id, root, prefix || i || '/', CASE WHEN json_type(s) = 'VARCHAR' THEN CASE WHEN json_valid(s ->> '$') THEN CAST(s ->> '$' AS JSON) END ELSE s END
- FROM (SELECT rec_id, root, prefix, i, coalesce(e -> '$[1].subgraph', e -> '$.attrs.subgraph') AS s
-  FROM (SELECT rec_id, root, prefix, i, c -> ('$.graph.edges[' || i || ']') AS e FROM (SELECT rec_id, root, prefix, c, unnest(range(0, CAST(coalesce(json_array_length(c, '$.graph.edges'), 0) AS BIGINT))) AS i FROM cell WHERE c IS NOT NULL)))
- WHERE s IS NOT NULL AND json_type(s) <> 'NULL'),
-ed AS (SELECT rec_id, root, prefix || i AS path, c -> ('$.graph.edges[' || i || ']') AS e FROM (SELECT rec_id, root, prefix, c, unnest(range(0, CAST(coalesce(json_array_length(c, '$.graph.edges'), 0) AS BIGINT))) AS i FROM cell WHERE c IS NOT NULL)),
-en AS (SELECT rec_id, root, path, coalesce(e ->> '$[0][0]', e ->> '$.source', e ->> '$.u') AS a, coalesce(e ->> '$[0][1]', e ->> '$.target', e ->> '$.v') AS b FROM ed WHERE json_type(e) <> 'NULL')"""
-
 _JSON_KIND = "CASE WHEN {t} IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'DOUBLE') THEN 'number' WHEN {t} = 'VARCHAR' THEN 'string' WHEN {t} = 'NULL' THEN NULL ELSE lower({t}) END"
 
 _DRIFT = f"""WITH RECURSIVE ln AS (SELECT stream_id, file_id, line_no, CAST(body AS JSON) AS j FROM sweep_files WHERE json_valid(body) AND json_type(body) = 'OBJECT'),
@@ -170,7 +148,7 @@ _P2 = {
 
 SQL = {
     **_P2,
-    "p3_found": f"{_EDGES} SELECT DISTINCT rec_id, root, path, least(a, b) AS u, greatest(a, b) AS v FROM en",
+    "p3_found": f"WITH RECURSIVE {CELLS} SELECT DISTINCT rec_id, root, path, least(a, b) AS u, greatest(a, b) AS v FROM ed",
     "p4_found": f"{_ORPHANS} SELECT ref_table, ref_id, field, kind FROM op",
     "p4_snapshots": " UNION ALL ".join(map(_after, (1, 2, 3))),
     "p4_counts": f"{_ORPHANS} SELECT ref_table, field, kind, strftime(recorded_at, '%Y-%m') AS month, count(*) AS orphans FROM op GROUP BY 1, 2, 3, 4",

@@ -750,25 +750,56 @@ def stream_tumbling_counts(spark, sf_dir):
 HORIZON, CYCLE = 365.0, 0.5
 
 
+def _lcg(graph: str) -> str:
+    return f"((({graph}) * 15485863 + eid * 7919 + k * 104729 + 12345) % 1000003 + 0.5) / 1000003"
+
+
+#: steps of the simulated regions: t0, t1 and the state between them, all edges up at the start
+STEPS_OF_STATES = f"""{STATES} ev AS (SELECT g, eid, sum(-ln({_lcg('g')}) * CASE WHEN k % 2 = 1 THEN {CYCLE} / p ELSE {CYCLE} / (1 - p) END) OVER (PARTITION BY g, eid ORDER BY k ROWS UNBOUNDED PRECEDING) AS t FROM e CROSS JOIN range(1, 300) r(k)),
+ate AS (SELECT g, t, eid, CAST(1 << eid AS BIGINT) AS bit FROM ev WHERE t < {HORIZON} UNION ALL SELECT DISTINCT g, 0, -1, 0 FROM idx),
+sp AS (SELECT g, t AS t0, lead(t, 1, {HORIZON}) OVER w AS t1, xor(1023, bit_xor(bit) OVER w) AS state FROM ate WINDOW w AS (PARTITION BY g ORDER BY t, eid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ws AS (SELECT m4.g, state, sum(CASE WHEN i > 0 AND (mask >> i) & 1 = 0 THEN nk + 1.0 ELSE 0 END) / sum(CASE WHEN i > 0 THEN nk + 1.0 ELSE 0 END) AS lost FROM m4 JOIN idx ON idx.g = m4.g WHERE st = 0 GROUP BY m4.g, state),
+wp AS (SELECT g, state, 1 - sum(bit_count(mask) - 1) / 2 / 10 AS lost FROM m4 GROUP BY g, state)"""
+
+
 def _simulated(spark, sf_dir, measure):
     nodes, edges = region_edges(spark, sf_dir)
-    return simulation.simulate(nodes.select("graph_id", "node", "weight"), edges, HORIZON, CYCLE, measure)
+    return simulation.simulate(nodes.select("graph_id", "node", "weight"), edges, HORIZON, CYCLE, measure, draw=simulation.arithmetic)
 
 
-@query()
+def _mean(steps: DataFrame) -> DataFrame:
+    return simulation.mean_loss(steps).select("graph_id", r("loss").alias("loss"), "changes")
+
+
+@query(f"WITH {STEPS_OF_STATES} SELECT g AS graph_id, round(sum(lost * (t1 - t0)) / sum(t1 - t0), 9) AS loss, count(*) AS changes FROM sp JOIN ws USING (g, state) GROUP BY g")
 def sim_saidi(spark, sf_dir):
     """Simulated share of weight cut off over a year, per region."""
-    return simulation.mean_loss(_simulated(spark, sf_dir, "saidi"))
+    return _mean(_simulated(spark, sf_dir, "saidi"))
 
 
-@query()
+@query(f"WITH {STEPS_OF_STATES} SELECT g AS graph_id, round(sum(lost * (t1 - t0)) / sum(t1 - t0), 9) AS loss, count(*) AS changes FROM sp JOIN wp USING (g, state) GROUP BY g")
 def sim_pairwise(spark, sf_dir):
-    return simulation.mean_loss(_simulated(spark, sf_dir, "pairwise"))
+    return _mean(_simulated(spark, sf_dir, "pairwise"))
 
 
-@query()
+@query(f"WITH {STEPS_OF_STATES} SELECT g AS graph_id, round(t1, 6) AS t, round(sum(lost * (t1 - t0)) OVER (PARTITION BY g ORDER BY t0 ROWS UNBOUNDED PRECEDING) / t1, 9) AS value FROM sp JOIN ws USING (g, state)")
 def sim_cumulative(spark, sf_dir):
-    return simulation.cumulative(_simulated(spark, sf_dir, "saidi"))
+    return simulation.cumulative(_simulated(spark, sf_dir, "saidi")).select("graph_id", r("t", 6).alias("t"), r("value").alias("value"))
+
+
+REPAIR, STEP, P_SWEEP = 2.0, 5.0, [0.02, 0.1]
+
+
+@query(f"""WITH {STATES} pg AS (SELECT unnest({P_SWEEP}) AS pp, unnest([0, 1]) AS pi),
+ev AS (SELECT g, pp, eid, sum(-ln({_lcg('g * 2 + pi')}) * CASE WHEN k % 2 = 1 THEN {REPAIR} * (1 - pp) / pp ELSE {REPAIR} END) OVER (PARTITION BY g, pp, eid ORDER BY k ROWS UNBOUNDED PRECEDING) AS t FROM e CROSS JOIN pg CROSS JOIN range(1, 300) r(k)),
+ate AS (SELECT g, pp, t, eid, CAST(1 << eid AS BIGINT) AS bit FROM ev WHERE t < {HORIZON} UNION ALL SELECT DISTINCT g, pp, 0, -1, 0 FROM idx CROSS JOIN pg),
+sp AS (SELECT g, pp, t AS t0, lead(t, 1, {HORIZON}) OVER w AS t1, xor(1023, bit_xor(bit) OVER w) AS state FROM ate WINDOW w AS (PARTITION BY g, pp ORDER BY t, eid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ws AS (SELECT g, state, (5 - bit_count(mask)) / 4 AS lost FROM m4 WHERE st = 0)
+SELECT g AS graph_id, pp AS p, n * {STEP} AS t, lost AS saidi FROM sp JOIN ws USING (g, state) JOIN range(0, 73) q(n) ON n * {STEP} >= t0 AND n * {STEP} < t1""")
+def sim_sampled(spark, sf_dir):
+    """The share of nodes cut off every five days of a year, for two probabilities."""
+    nodes, edges = region_edges(spark, sf_dir)
+    return simulation.sampled(nodes, edges, P_SWEEP, REPAIR, HORIZON, STEP, draw=simulation.arithmetic)
 
 
 @query()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.plans import problems, reference
+from gridloom.plans import network_queries, problems, reference
 
 
 def core_queries() -> dict:
-    return reference.QUERIES | problems.QUERIES
+    return reference.QUERIES | problems.QUERIES | network_queries.QUERIES
 
 
 def core_sql() -> dict[str, str]:
-    return reference.SQL | problems.SQL
+    return reference.SQL | problems.SQL | network_queries.SQL
