@@ -7,7 +7,9 @@ basis p^i (1-p)^(d-i). All operations are built-in higher-order functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,6 +57,57 @@ def poly_is_zero(a: Column) -> Column:
     return F.forall(a, lambda c: c == 0)
 
 
+def poly_pow(a: Column, k: Column) -> Column:
+    """``a`` to a whole power of 0 or more."""
+    times = F.when(k > 0, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(times, F.array(F.lit(1.0)), lambda acc, _: poly_mul(acc, a))
+
+
+def poly_divmod(a: Column, b: Column) -> Column:
+    """``struct(quotient, remainder)`` by long division; null where ``b`` is zero."""
+    a, b = poly_trim(a), poly_trim(b)
+    na, nb = F.size(a) - F.lit(1), F.size(b) - F.lit(1)
+    start = F.struct(F.array().cast("array<double>").alias("quotient"), a.alias("remainder"))
+
+    def step(acc: Column, k: Column) -> Column:
+        c = F.get(acc["remainder"], k + nb) / F.get(b, nb)
+        rest = F.transform(acc["remainder"], lambda x, j: x - F.when((j >= k) & (j <= k + nb), c * F.get(b, j - k)).otherwise(0.0))
+        return F.struct(F.concat(F.array(c), acc["quotient"]).alias("quotient"), rest.alias("remainder"))
+
+    places = F.when(na >= nb, F.reverse(F.sequence(F.lit(0), na - nb))).otherwise(F.array().cast("array<int>"))
+    done = F.aggregate(places, start, step)
+    quotient = F.when(na >= nb, done["quotient"]).otherwise(F.array(F.lit(0.0)))
+    remainder = F.when(nb == 0, F.array(F.lit(0.0))).when(na >= nb, F.slice(done["remainder"], 1, nb)).otherwise(a)
+    return F.when(~poly_is_zero(b), F.struct(quotient.alias("quotient"), remainder.alias("remainder")))
+
+
+def _real_roots(coefficients: pd.Series) -> pd.Series:
+    def one(c) -> list[float]:
+        c = np.trim_zeros(np.asarray(c, dtype=float)[::-1], "f")
+        found = np.roots(c) if len(c) > 1 else np.zeros(0)
+        return sorted(float(x.real) for x in found if abs(x.imag) <= 1e-9 * max(1.0, abs(x)))
+
+    return coefficients.map(one)
+
+
+def real_roots(a: Column) -> Column:
+    """The real roots in order, a double one twice; none for a constant. Eigenvalues of the companion matrix, in Arrow batches."""
+    return F.pandas_udf(_real_roots, "array<double>")(a)
+
+
+def root_rows(df: DataFrame, a: Column, name: str = "root") -> DataFrame:
+    """A row for each real root of the polynomial ``a``. The optimizer would move a Python column into a generator, so the rows come from the batches themselves."""
+
+    def run(batches):
+        for b in batches:
+            out = b.assign(**{name: _real_roots(b[name])}).explode(name)
+            yield out[out[name].notna()].astype({name: float})
+
+    kept = df.withColumn(name, a)
+    schema = ", ".join(f"`{f.name}` {'double' if f.name == name else f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInPandas(run, schema)
+
+
 def choose(n: Column, k: Column) -> Column:
     """Binomial coefficient as a double; 0 outside 0..n."""
     body = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda acc, i: acc * (n - k + i) / i)

@@ -112,3 +112,57 @@ def solve_rate(lengths: DataFrame, key: str, length: str, target: float, rounds:
         bounds = means.groupBy(key).agg(F.max(F.when(F.col("mean") <= target, F.col("rate"))).alias("lo"), F.min(F.when(F.col("mean") >= target, F.col("rate"))).alias("hi"))
     found = bounds.select(key, F.sqrt(F.col("lo") * F.col("hi")).alias("rate"))
     return ends.select(key).join(found, key, "left").select(key, F.coalesce("rate", F.lit(0.0)).alias("rate"))
+
+
+def chain_losses(rows: DataFrame, keys: list[str], order: str, p: str) -> DataFrame:
+    """``rows`` with ``q_left`` and ``q_right``: the probabilities that some edge before the row, or from the row on, fails.
+
+    A row's edge leads to the next row; ``keys`` make chains, and one chain is put in order in one task.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.coalesce(F.product(1 - F.col(p)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    after = F.product(1 - F.col(p)).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return rows.withColumns({"q_left": 1 - before, "q_right": 1 - after})
+
+
+def implode(rows: DataFrame, keys: list[str], order: str, *columns: str) -> DataFrame:
+    """``keys`` and each of ``columns`` as an array in order of ``order``: the reverse of exploding aligned arrays. The arrays are as long as their groups."""
+    held = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__o"), *columns))).alias("__rows"))
+    return held.select(*keys, *[F.col(f"__rows.{c}").alias(c) for c in columns])
+
+
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``base`` with the rows of ``changes`` in place of those with the same ``keys``; of several changes the last by ``order`` holds."""
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in base.columns if c not in keys]), order).alias("__row"))
+    return base.join(last.select(*keys), keys, "left_anti").select(base.columns).unionByName(last.select(*keys, "__row.*").select(base.columns))
+
+
+def close_to(value: Column, wanted: float, absolute: float = 0.1, relative: float = 1e-5) -> Column:
+    """Whether a value lies within a tolerance of a wanted one; null is not close."""
+    return F.coalesce(F.abs(value - F.lit(wanted)) <= F.lit(absolute + relative * abs(wanted)), F.lit(False))
+
+
+def in_box(x: Column, y: Column, west: float, south: float, east: float, north: float) -> Column:
+    return F.coalesce(x.between(west, east) & y.between(south, north), F.lit(False))
+
+
+def flagged(rows: DataFrame, members: DataFrame, key: str, flag: str) -> DataFrame:
+    """``rows`` with a column that tells whether the key is among ``members``."""
+    there = members.select(key).distinct().withColumn(flag, F.lit(True))
+    return rows.join(there, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def permuted(rows: DataFrame, keys: list[str], draw: Column, tie: str) -> DataFrame:
+    """``rows`` with ``place``: a random order within ``keys``, by a number that ``draw`` gives each row."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(draw, tie)))
+
+
+def typed_key(key: Column) -> Column:
+    """A text key as the simplest type it can be read as: truth value, nothing, whole number, number, else text."""
+    text = F.lower(F.trim(key))
+    whole = F.when(F.trim(key).rlike("^[+-]?[0-9]+$"), F.trim(key).try_cast("bigint"))
+    number = F.when(F.trim(key).rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(key).try_cast("double"))
+    return F.struct(
+        F.when(text.isin("true", "false"), "boolean").when(text.isin("none", "null"), "null").when(whole.isNotNull(), "bigint").when(number.isNotNull(), "double").otherwise("string").alias("kind"),
+        F.when(text.isin("true", "false"), F.when(text == "true", 1.0).otherwise(0.0)).otherwise(F.coalesce(whole.cast("double"), number)).alias("number"),
+    )

@@ -308,6 +308,129 @@ def improve_trees(points: DataFrame, r: int, quantile: float = 0.3) -> DataFrame
     return points.select(F.col("set_id").cast("bigint").alias("set_id"), "id", "x", "y").where("x is not null and y is not null").groupBy("set_id").applyInPandas(run, "set_id bigint, u bigint, v bigint, kind string")
 
 
+def spanning_tree(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Minimum spanning tree of a full matrix of weights, node by node."""
+    n = len(weights)
+    inside, tree = np.zeros(n, dtype=bool), []
+    if not n:
+        return tree
+    inside[0] = True
+    best, frm = weights[0].copy(), np.zeros(n, dtype=int)
+    for _ in range(n - 1):
+        j = int(np.argmin(np.where(inside, np.inf, best)))
+        tree.append((int(frm[j]), j))
+        inside[j] = True
+        closer = weights[j] < best
+        best[closer], frm[closer] = weights[j][closer], j
+    return tree
+
+
+def close_loops(weights: np.ndarray, r: int, factor: float = 0.5, seed: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A random spanning tree (weights times ``u * factor + 1 - factor``) and ``r`` chords, each the one whose way through the tree has most nodes not yet covered.
+
+    Ties go to the smaller ends, also once everything is covered.
+    """
+    n = len(weights)
+    drawn = np.triu(np.random.default_rng(seed).random((n, n)), 1)
+    tree = spanning_tree(weights * ((drawn + drawn.T) * factor + 1 - factor))
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in tree:
+        near[a].append(b)
+        near[b].append(a)
+    have = {frozenset(e) for e in tree}
+    # a row of flags for each pair: the nodes on the way between them, found from every start
+    ways: dict[tuple[int, int], np.ndarray] = {}
+    for start in range(n):
+        way, open_ones = {start: np.eye(1, n, start, dtype=bool)[0]}, [start]
+        for x in open_ones:
+            for y in near[x]:
+                if y not in way:
+                    way[y] = way[x] | np.eye(1, n, y, dtype=bool)[0]
+                    open_ones.append(y)
+                    if start < y and frozenset((start, y)) not in have:
+                        ways[start, y] = way[y]
+    covered, chords = np.zeros(n, dtype=bool), []
+    for _ in range(r):
+        best = max(ways, key=lambda c: (int((ways[c] & ~covered).sum()), -c[0], -c[1]), default=None)
+        if best is None:
+            break
+        covered |= ways.pop(best)
+        chords.append(best)
+    return tree, chords
+
+
+def random_improvement(degree: dict, candidates: list[tuple], r_list: list[int], start: int) -> list[tuple[int, object, object]]:
+    """``(r, u, v)``: of the shuffled ``candidates`` those between two nodes of degree 2, one after the other, with the redundancy that each brings, up to the largest of ``r_list``."""
+    degree, out, r = dict(degree), [], start
+    for u, v in candidates:
+        if r >= max(r_list, default=start):
+            break
+        if u != v and degree.get(u) == 2 and degree.get(v) == 2:
+            degree[u] = degree[v] = 3
+            r += 1
+            out.append((r, u, v))
+    return out
+
+
+def closed_loops(points: DataFrame, r: int, factor: float = 0.5, seed: int = 0) -> DataFrame:
+    """``set_id, u, v, kind``: random spanning tree and ``r`` chords of each set of points."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").drop_duplicates("id")
+        xy, ids = pdf[["x", "y"]].to_numpy(float), pdf["id"].to_numpy()
+        tree, chords = close_loops(_distances(xy, xy), r, factor, seed)
+        rows = [(key[0], *sorted((ids[a], ids[b])), kind) for kind, part in (("tree", tree), ("chord", chords)) for a, b in part]
+        return pd.DataFrame(rows, columns=["set_id", "u", "v", "kind"])
+
+    return points.select(F.col("set_id").cast("bigint").alias("set_id"), "id", "x", "y").where("x is not null and y is not null").groupBy("set_id").applyInPandas(run, "set_id bigint, u bigint, v bigint, kind string")
+
+
+def randomly_improved(edges: DataFrame, candidates: DataFrame, r_list: list[int]) -> DataFrame:
+    """``set_id, r, u, v``: edges that a random choice adds to each set's network until its redundancy is the largest of ``r_list``.
+
+    ``edges``: ``set_id, u, v``; ``candidates``: ``set_id, place, u, v`` in random order. The networks of smaller redundancy are the rows up to it.
+    """
+    tagged = edges.select("set_id", F.lit(None).cast("bigint").alias("place"), "u", "v").unionByName(candidates.select("set_id", F.col("place").cast("bigint").alias("place"), "u", "v"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        have, tries = pdf[pdf.place.isna()], pdf[pdf.place.notna()].sort_values("place")
+        degree = pd.concat([have.u, have.v]).value_counts().to_dict()
+        rows = random_improvement(degree, list(zip(tries.u, tries.v, strict=True)), r_list, len(have) - len(degree) + 1)
+        return pd.DataFrame([(key[0], *x) for x in rows], columns=["set_id", "r", "u", "v"])
+
+    return tagged.groupBy("set_id").applyInPandas(run, "set_id bigint, r int, u bigint, v bigint")
+
+
+def rewired(points: DataFrame, network_edges: DataFrame, budget: float = 0.3, max_changes: int = 300) -> DataFrame:
+    """``set_id, u, v, chain``: the networks (``set_id, u, v, chain``, as ``design`` makes them) after moves that shorten them within a budget of risk."""
+    none = F.lit(None)
+    tagged = network_edges.select("set_id", "u", "v", "chain", none.cast("double").alias("x"), none.cast("double").alias("y")).unionByName(
+        points.select(F.col("set_id").cast("bigint").alias("set_id"), F.col("id").alias("u"), none.cast("bigint").alias("v"), none.cast("int").alias("chain"), "x", "y")
+    )
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, links = pdf[pdf.v.isna()], pdf[pdf.v.notna()]
+        pos = {int(i): (x, y) for i, x, y in zip(at.u, at.x, at.y, strict=True)}
+        chains = []
+        for _, rows in links.groupby("chain"):
+            near: dict[int, list[int]] = {}
+            for u, v in zip(rows.u.astype(int), rows.v.astype(int), strict=True):
+                near.setdefault(u, []).append(v)
+                near.setdefault(v, []).append(u)
+            ends = [n for n, x in near.items() if len(x) == 1] or [next(iter(near))]
+            way = [min(ends)]
+            while (following := [n for n in near[way[-1]] if n not in way[-2:-1] and (n not in way)]):
+                way.append(min(following))
+            if len(ends) == 1:
+                way.append(way[0])
+            chains.append(way)
+        moved, _ = rewire(chains, pos, budget, max_changes)
+        rows = [(key[0], *sorted(e), c) for c, way in enumerate(moved) for e in itertools.pairwise(way)]
+        return pd.DataFrame(rows, columns=["set_id", "u", "v", "chain"])
+
+    return tagged.groupBy("set_id").applyInPandas(run, "set_id bigint, u bigint, v bigint, chain int")
+
+
 def bridges(edges: DataFrame) -> DataFrame:
     """``graph_id, u, v`` of the edges whose loss splits their graph; parallel edges are none. One graph is one group."""
 

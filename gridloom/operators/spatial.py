@@ -432,3 +432,53 @@ def _by_batches(search):
         yield from search(batches)
 
     return run
+
+
+# --- hulls ---------------------------------------------------------------------
+
+
+def hull_of(xy: np.ndarray) -> np.ndarray:
+    """Places of the corners of the convex hull, counterclockwise from the lowest x; of equal points one, none within an edge."""
+    order = np.lexsort((xy[:, 1], xy[:, 0])).tolist()
+
+    def half(places: list[int]) -> list[int]:
+        out: list[int] = []
+        for i in places:
+            if out and (xy[out[-1]] == xy[i]).all():
+                continue
+            while len(out) > 1:
+                (ax, ay), (bx, by), (cx, cy) = xy[out[-2]], xy[out[-1]], xy[i]
+                if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
+                    break
+                out.pop()
+            out.append(i)
+        return out
+
+    low, high = half(order), half(order[::-1])
+    return np.array(low[:-1] + high[:-1] if len(low) > 1 else low, dtype=np.int64)
+
+
+def convex_hulls(points: DataFrame, key: str) -> DataFrame:
+    """``key, corner, x, y``: the hull of each group of ``points`` (``key, x, y``), corners counted from 0.
+
+    Each task first cuts its own points down to their hulls, so a group of any size meets as a few corners.
+    """
+    kind = points.schema[key].dataType.simpleString()
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for b in batches:
+            for k, rows in b.groupby(key, dropna=False):
+                xy = rows[["x", "y"]].to_numpy(float)
+                xy = np.concatenate([held[k], xy]) if k in held else xy
+                held[k] = xy[hull_of(xy)]
+        for k, xy in held.items():
+            yield pd.DataFrame({key: k, "x": xy[:, 0], "y": xy[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["x", "y"]].to_numpy(float)
+        xy = xy[hull_of(xy)]
+        return pd.DataFrame({key: pdf[key].iloc[0], "corner": np.arange(len(xy)), "x": xy[:, 0], "y": xy[:, 1]})
+
+    fine = points.select(key, F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    return fine.mapInPandas(local, f"`{key}` {kind}, x double, y double").groupBy(key).applyInPandas(whole, f"`{key}` {kind}, corner int, x double, y double")

@@ -296,12 +296,6 @@ def contract_sources(spark, sf_dir):
     return graphs.contract(edges, p.where("label < 2").select(F.col("id").alias("node")), F.lit(-1).cast("bigint")).groupBy("u", "v").agg(F.count("*").alias("n"))
 
 
-@query()
-def skeleton_chain_lengths(spark, sf_dir):
-    e = near(spark, sf_dir).select(F.xxhash64("a", "b").alias("edge_id"), F.col("a").alias("u"), F.col("b").alias("v"), F.col("d").alias("length"), (F.col("d") / NEAR).alias("prob"))
-    return graphs.skeleton(e).groupBy("n_edges").agg(F.count("*").alias("chains"), r(F.sum("length")).alias("length"), r(F.avg("fail")).alias("fail"))
-
-
 @query("SELECT l_orderkey, count(*) AS n_edges, round(1 - product(1 - l_discount / 10), 9) AS fail FROM lineitem GROUP BY l_orderkey")
 def chain_fail_prob(spark, sf_dir):
     """An order as a chain of its lines."""
@@ -436,13 +430,6 @@ def mst_weight(spark, sf_dir):
     return graphs.spanning_tree(e).select(F.col("u").alias("a"), F.col("v").alias("b"), r("weight").alias("w"))
 
 
-@query()
-def mst_points(spark, sf_dir):
-    """Minimum spanning forest of the near-point graph."""
-    e = near(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("d").alias("weight"))
-    return graphs.spanning_tree(e)
-
-
 @query("""WITH c AS (SELECT n_nationkey AS k, n_regionkey AS g, 1 + count(c_custkey) AS s FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2), rs AS (SELECT g, 1 + sum(s) AS s FROM c GROUP BY g)
 SELECT x.k AS a, y.k AS b, CAST(x.s + y.s + CASE WHEN x.g <> y.g THEN rx.s + ry.s ELSE 0 END AS BIGINT) AS benefit FROM c x JOIN c y ON x.k < y.k JOIN rs rx ON rx.g = x.g JOIN rs ry ON ry.g = y.g""")
 def chord_coverage(spark, sf_dir):
@@ -800,23 +787,3 @@ def sim_sampled(spark, sf_dir):
     """The share of nodes cut off every five days of a year, for two probabilities."""
     nodes, edges = region_edges(spark, sf_dir)
     return simulation.sampled(nodes, edges, P_SWEEP, REPAIR, HORIZON, STEP, draw=simulation.arithmetic)
-
-
-@query()
-def design_network(spark, sf_dir):
-    """A network of redundancy 3 over the points of each label."""
-    return design.design(points(spark, sf_dir).select(F.col("label").alias("set_id"), "id", "x", "y"), 3)
-
-
-@query()
-def improve_tree(spark, sf_dir):
-    """The spanning tree of each label's points with three chords."""
-    return design.improve_trees(points(spark, sf_dir).select(F.col("label").alias("set_id"), "id", "x", "y"), 3)
-
-
-@query()
-def bridges(spark, sf_dir):
-    """Bridges of each component of the near-point graph."""
-    edges = near(spark, sf_dir).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    named = edges.join(graphs.components(edges).select(F.col("node").alias("u"), F.col("component").alias("graph_id")), "u")
-    return design.bridges(named)

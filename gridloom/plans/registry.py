@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import network_queries, problems, reference
+from gridloom.plans import network_queries, operations, problems, reference  # noqa: F401  (operations adds its queries to those of reference)
 
 
 def core_queries() -> dict:

@@ -129,6 +129,29 @@ def read_csv_tidy(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(names[c]) for c in kept])
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """``file, feature_no, geometry, properties``: each feature of a collection, or the file itself where it is one feature or a bare geometry.
+
+    ``geometry`` is JSON text as :mod:`gridloom.operators.spatial` takes it; files that are no JSON are left out.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v")).where("v is not null")
+    listed = F.coalesce(F.expr("try_variant_get(v, '$.features', 'array<variant>')"), F.array("v"))
+    rows = whole.select("file", F.posexplode(listed).alias("feature_no", "f"))
+    inner = F.coalesce(F.try_variant_get("f", "$.geometry", "string"), F.when(F.try_variant_get("f", "$.type", "string") != "Feature", F.expr("to_json(f)")))
+    return rows.select("file", "feature_no", inner.alias("geometry"), F.try_variant_get("f", "$.properties", "string").alias("properties"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Rows with a heading; arrays, maps and structs as JSON text."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`") for f in df.schema.fields]
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_legacy(cells: DataFrame, path: str) -> None:
+    """Graph cells (``cell``) as JSON text within JSON, as :func:`read_legacy` takes it; a file for each partition."""
+    cells.select(F.substring(F.to_json(F.array("cell")), 2, 1_000_000_000).alias("t")).select(F.expr("substring(t, 1, length(t) - 1)").alias("value")).write.mode("overwrite").text(path)
+
+
 def missing_only(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``wanted`` that an earlier run did not write yet."""
     return wanted.join(have.select(*keys), keys, "left_anti")
