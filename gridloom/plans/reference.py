@@ -720,14 +720,14 @@ def union_networks(spark, sf_dir):
 @query("SELECT CAST(user_id AS BIGINT) AS user_id, round(sum(CASE WHEN down = 1 THEN t1 - t0 ELSE 0 END), 5) AS lost FROM (SELECT user_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS down, epoch_us(ts) / 1e6 AS t0, coalesce(lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), epoch_us(ts)) / 1e6 AS t1 FROM events) GROUP BY user_id")
 def stream_down_time(spark, sf_dir):
     """Down time per user kept up as streaming state; the last row of each user counts."""
-    out = windows.run_once(windows.down_time(windows.event_stream(spark, sf_dir)), "update")
+    out = windows.run_once(windows.down_time(windows.arrivals(spark, sf_dir)), "update")
     return out.groupBy("user_id").agg(r(F.max_by("lost", F.struct("t", "batch")), 5).alias("lost"))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark, sf_dir):
     """Daily windows kept up as streaming state; the last version of each window counts."""
-    out = windows.run_once(windows.tumbling_counts(windows.event_stream(spark, sf_dir)), "update")
+    out = windows.run_once(windows.tumbling_counts(windows.arrivals(spark, sf_dir)), "update")
     last = out.groupBy(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
     return last.select("day", "event_type", "s.n", r("s.total", 6).alias("total"))
 
