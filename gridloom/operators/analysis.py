@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import cut
+
 
 def finite(*columns: str) -> Column:
     test = F.lit(True)
@@ -96,20 +98,21 @@ def optimal_expression(n: Column, r: Column, p: float, sources: int = 1) -> Colu
 def solve_rate(lengths: DataFrame, key: str, length: str, target: float, rounds: int = 6, grid: int = 48) -> DataFrame:
     """``key, rate`` for which the mean of ``1 - exp(-length * rate)`` of each group is ``target`` (0 < target < 1).
 
-    Each round evaluates the mean at ``grid`` rates in one aggregation and narrows the
+    Each round takes the means at ``grid`` rates in one aggregation of the rows as they are and narrows the
     interval to one step, so a group is only ever summed. Groups without positive length have rate 0.
     """
-    ends = lengths.groupBy(key).agg(F.max(length).alias("longest"), F.avg((F.col(length) > 0).cast("double")).alias("share"))
-    rows = lengths.select(key, F.col(length).alias("len"))
-    # mean <= 1 - exp(-longest * rate) bounds the rate from below; doubling finds the upper end
+    rows = cut(lengths.select(key, F.col(length).alias("__len")))
+    ends = cut(rows.groupBy(key).agg(F.max("__len").alias("longest"), F.avg((F.col("__len") > 0).cast("double")).alias("share")))
+    # mean <= 1 - exp(-longest * rate) bounds the rate from below; the upper end is far above it
     low = -F.log(F.lit(1 - target)) / F.col("longest") / 2
-    bounds = ends.where((F.col("longest") > 0) & (F.col("share") > target)).select(key, low.alias("lo"), (low * 2.0**24).alias("hi"))
+    bounds = cut(ends.where((F.col("longest") > 0) & (F.col("share") > target)).select(key, low.alias("lo"), (low * 2.0**24).alias("hi")))
+    rate = lambda i: F.col("lo") * F.pow(F.col("hi") / F.col("lo"), i / F.lit(float(grid)))
     for _ in range(rounds):
-        step = F.pow(F.col("hi") / F.col("lo"), F.col("__step") / grid) * F.col("lo")
-        tries = bounds.select(key, F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("__step"), "lo", "hi").select(key, step.alias("rate"))
-        seen = rows.join(tries.groupBy(key).agg(F.collect_list("rate").alias("rates")), key).select(key, "len", F.explode("rates").alias("rate"))
-        means = seen.groupBy(key, "rate").agg(F.avg(1 - F.exp(-F.col("len") * F.col("rate"))).alias("mean"))
-        bounds = means.groupBy(key).agg(F.max(F.when(F.col("mean") <= target, F.col("rate"))).alias("lo"), F.min(F.when(F.col("mean") >= target, F.col("rate"))).alias("hi"))
+        means = [F.avg(1 - F.exp(-F.col("__len") * rate(F.lit(i)))).alias(f"m{i}") for i in range(grid + 1)]
+        seen = rows.join(bounds, key).groupBy(key, "lo", "hi").agg(*means)
+        below = F.size(F.filter(F.array(*[f"m{i}" for i in range(grid + 1)]), lambda m: m <= target))
+        at = seen.select(key, "lo", "hi", F.greatest(F.least(below, F.lit(grid)), F.lit(1)).alias("i"))
+        bounds = cut(at.select(key, rate(F.col("i") - 1).alias("lo"), rate(F.col("i")).alias("hi")))
     found = bounds.select(key, F.sqrt(F.col("lo") * F.col("hi")).alias("rate"))
     return ends.select(key).join(found, key, "left").select(key, F.coalesce("rate", F.lit(0.0)).alias("rate"))
 

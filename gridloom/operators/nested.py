@@ -9,14 +9,22 @@ One projection reaches ``LEVELS`` levels of subgraphs. What lies deeper comes ou
 of it as pending cells, which the same projection takes up again until none is
 left, so that any depth is covered.
 
+Cells that the variant parser refuses but Python's reads (a repeated key, of which the last holds, or a number that is not
+finite, which becomes null) are written anew and taken up like pending ones; only they pass through Python.
+
 Defined results for odd input: cells that are null, blank or not readable as
-JSON give no row; null entries of the lists give no row but are counted in the
+JSON give no row, nor do those nested over about 1,000 lists and objects deep; null entries of the lists give no row but are counted in the
 positions; missing lists count as empty; a missing end id is null; cells that
 are text inside JSON are read, over up to three wrappings. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,24 +145,57 @@ def _cells(networks: DataFrame, roots: tuple[str, ...]) -> DataFrame:
     return stacked.select("rec_id", "c.root", F.lit("").alias("path"), "c.text").where("text is not null")
 
 
+def _finite(value: object) -> object:
+    if isinstance(value, float):
+        return value if math.isfinite(value) else None
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return [_finite(v) for v in value] if isinstance(value, list) else value
+
+
+def _anew(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts: list[str | None] = []
+            for text in b.column(column).to_pylist():
+                try:
+                    value = json.loads(text)
+                    for _ in range(3):
+                        value = json.loads(value) if isinstance(value, str) else value
+                    texts.append(json.dumps(_finite(value)))
+                except (ValueError, RecursionError):
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(column)], pa.array(texts, pa.string())], names=b.schema.names)
+
+    return run
+
+
 def flatten(networks: DataFrame, target: str, roots: tuple[str, ...] = ("graph", "optimal_network"), levels: int = LEVELS) -> DataFrame:
     """Rows of ``target`` (``networks``, ``nodes`` or ``edges``) at any depth.
 
     Every row has ``rec_id`` and ``root`` of its record, and ``parent``: the path
     of the edge whose subgraph it lies in, null at the top.
     """
-    cells, done = _cells(networks, roots), None
+    cells, done, first = _cells(networks, roots), None, True
+    refused = _EMPTY[target].format(path="above", pending="text").replace("'parent', cast(null as string)", "'parent', 'refused'")
     while True:
-        parsed = cells.select("rec_id", "root", F.col("path").alias("above"), F.expr(_reparsed("text")).alias("once"))
-        parsed = parsed.select("rec_id", "root", "above", F.expr(f"case when {_get('once', '$.graph', 'variant')} is not null then once else {_reparsed(_get('once', '$'))} end").alias("cell"))
+        parsed = cells.select("rec_id", "root", F.col("path").alias("above"), "text", F.expr(_reparsed("text")).alias("once"))
+        parsed = parsed.select("rec_id", "root", "above", "text", F.expr(f"case when {_get('once', '$.graph', 'variant')} is not null then once else {_reparsed(_get('once', '$'))} end").alias("cell"), F.col("once").isNull().alias("bad"))
         # a pass's rows are written once: the pending cells are read from there, not parsed again
-        rows = cut(parsed.select("rec_id", "root", F.expr(f"inline({_rows('cell', 'above', target, 0, levels)})")))
+        every = _rows("cell", "above", target, 0, levels)
+        every = f"if(bad and trim(text) <> '', array({refused}), {every})" if first else every
+        rows = cut(parsed.select("rec_id", "root", F.expr(f"inline({every})")))
         flat = rows.where("pending is null").drop("pending")
         done = flat if done is None else done.unionByName(flat)
-        left = rows.where("pending is not null").select("rec_id", "root", "path", F.col("pending").alias("text"))
+        left = rows.where("pending is not null").select("rec_id", "root", "path", "parent", F.col("pending").alias("text"))
         if left.isEmpty():
             return done
-        cells = left
+        deeper = left.where("parent is distinct from 'refused'").drop("parent")
+        if first:
+            kind = left.schema["rec_id"].dataType.simpleString()
+            again = left.where("parent = 'refused'").drop("parent").mapInArrow(_anew(3), f"rec_id {kind}, root string, path string, text string")
+            deeper = deeper.unionByName(again.where("text is not null"))
+        cells, first = deeper, False
 
 
 def edge_ends(networks: DataFrame) -> DataFrame:

@@ -234,9 +234,9 @@ def graph_summary_nmr(spark, sf_dir):
     """Nodes, edges and redundancy of each nation's supplier-part graph."""
     l, s = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct(), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     b = l.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    m = b.groupBy("s_nationkey").agg(F.count("*").alias("m"))
-    side = lambda c, name: b.select("s_nationkey", c).distinct().groupBy("s_nationkey").agg(F.count("*").alias(name))
-    nodes = m.join(side("l_suppkey", "n1"), "s_nationkey").join(side("l_partkey", "n2"), "s_nationkey").withColumn("n", F.col("n1") + F.col("n2"))
+    suppliers = b.groupBy("s_nationkey", "l_suppkey").agg(F.count("*").alias("k")).groupBy("s_nationkey").agg(F.sum("k").alias("m"), F.count("*").alias("n1"))
+    parts = b.select("s_nationkey", "l_partkey").distinct().groupBy("s_nationkey").agg(F.count("*").alias("n2"))
+    nodes = suppliers.join(parts, "s_nationkey").withColumn("n", F.col("n1") + F.col("n2"))
     return nodes.select("s_nationkey", "n", "m", (F.col("m") - F.col("n") + 1).alias("r"), r((F.col("m") - F.col("n") + 1) / F.col("n")).alias("rho"))
 
 
@@ -462,8 +462,11 @@ def balanced_targets(spark, sf_dir):
 
 @query(f"WITH {CENTERS} SELECT pt.id AS point, ce.id AS center, round((pt.x - ce.x) ** 2 + (pt.y - ce.y) ** 2, 9) AS d2 FROM pt CROSS JOIN ce")
 def squared_distance(spark, sf_dir):
-    """Every point against every center: the cost matrix of the clustering."""
-    c = centers(spark, sf_dir).select(F.collect_list(F.struct(F.col("id").alias("center"), F.col("x").alias("cx"), F.col("y").alias("cy"))).alias("c"))
+    """Every point against every center: the cost matrix of the clustering. The centers, one for each label, are broadcast; over 100,000 are an error."""
+    few = F.when(F.count("*") > 100_000, F.raise_error(F.lit("too many centers")))
+    held = centers(spark, sf_dir)
+    held.agg(few.alias("x")).collect()
+    c = held.select(F.collect_list(F.struct(F.col("id").alias("center"), F.col("x").alias("cx"), F.col("y").alias("cy"))).alias("c"))
     m = points(spark, sf_dir).crossJoin(F.broadcast(c)).select(F.col("id").alias("point"), "x", "y", F.inline("c"))
     return m.select("point", "center", r((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2).alias("d2"))
 
@@ -519,7 +522,11 @@ SERIES = "WITH sr AS (SELECT graph_id, p, r, avg(saidi) AS f FROM (SELECT DISTIN
 
 
 def _clean_series(spark, sf_dir):
-    return table(spark, sf_dir, "series").distinct().where(analysis.finite("p", "saidi") & (F.col("saidi") >= 0))
+    """Measured rows of ``series``, repeats once. What the queries do not use is held as a digest, so that little is shuffled."""
+    s = table(spark, sf_dir, "series")
+    used = ["row_id", "graph_id", "r", "p", "t", "saidi"]
+    rest = F.xxhash64(*[c for c in s.columns if c not in used]).alias("rest")
+    return s.where(analysis.finite("p", "saidi") & (F.col("saidi") >= 0)).select(*used, rest).distinct().drop("rest")
 
 
 @query(_crossing_sql(SERIES, "graph_id, pk", "r"))

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from gridloom.operators import nested
-from gridloom.plans import problems
+from gridloom.plans import network_queries, problems
 
 
 def walk(text):
@@ -58,10 +58,10 @@ def test_deep_and_odd_cells(spark):
 
 
 def test_every_row_leads_to_its_parent(spark, medium):
-    nets = {(r.rec_id, r.root, r.parent): r for r in problems.p3_networks(spark, medium).collect()}
-    edges = {(r.rec_id, r.root, r.path) for r in problems.p3_edges(spark, medium).collect()}
+    nets = {(r.rec_id, r.root, r.parent): r for r in network_queries.p3_networks(spark, medium).collect()}
+    edges = {(r.rec_id, r.root, r.path) for r in network_queries.p3_edges(spark, medium).collect()}
     assert all(parent is None or (rec, root, parent) in edges for rec, root, parent in nets)
-    nodes = problems.p3_nodes(spark, medium).collect()
+    nodes = network_queries.p3_nodes(spark, medium).collect()
     assert nodes and all((n.rec_id, n.root, n.parent) in nets for n in nodes)
 
 
@@ -74,3 +74,14 @@ def test_node_forms(spark):
 
 def test_empty_table(spark):
     assert nested.edge_ends(frame(spark, [None]).where("false")).count() == 0
+
+
+def test_cells_that_only_python_reads(spark):
+    twice = '{"type": "Graph", "graph": {"nodes": [[0, {}]], "nodes": [[0, {}], [1, {"weight": NaN}]], "edges": [[[0, 1], {"length": 2.5, "prob": Infinity}], null, [[1, 0], {"subgraph": {"graph": {"nodes": [], "edges": [[[7, 8], {}]]}}}]]}}'
+    rows = [(1, twice, None), (2, '{"graph": {"nodes": [', json.dumps(twice)), (3, "  ", "null")]
+    df = spark.createDataFrame(rows, "rec_id bigint, graph string, optimal_network string")
+    got = sorted((r.rec_id, r.root, r.path, r.u, r.v) for r in nested.edge_ends(df).collect())
+    want = [("0", "0", "1"), ("2", "0", "1"), ("2/0", "7", "8")]
+    assert got == [(i, root, *w) for i, root in ((1, "graph"), (2, "optimal_network")) for w in want]
+    nodes = nested.flatten(df, "nodes").where("rec_id = 1").collect()
+    assert sorted((r.node, r.weight) for r in nodes) == [("0", None), ("1", None)]
