@@ -146,7 +146,28 @@ _P2 = {
     "p2_values": f"{_VALUES} SELECT stream_id, run_id, field, typed, CAST(pos AS BIGINT) AS pos, num, CASE WHEN plain THEN txt ELSE regexp_replace(txt, '\\.0([,\\]}}])', '\\1', 'g') END AS txt FROM ty",
 }
 
+_NEAR = """WITH RECURSIVE ps AS (SELECT DISTINCT node_id AS id, pos.x AS x, pos.y AS y, radians(pos.x) AS lo, radians(pos.y) AS la FROM nodes WHERE node_id IS NOT NULL AND pos.x BETWEEN -180 AND 180 AND pos.y BETWEEN -90 AND 90 AND NOT (pos.x = 0 AND pos.y = 0)),
+gj(box_id, part, j) AS (SELECT box_id, '', CASE WHEN json_valid(geometry) THEN CAST(geometry AS JSON) END FROM boxes WHERE geometry IS NOT NULL
+ UNION ALL SELECT box_id, part || '/' || i, x FROM (SELECT box_id, part, unnest(ch) AS x, unnest(range(len(ch))) AS i FROM (SELECT box_id, part, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN [CAST(j ->> '$' AS JSON)] END
+  WHEN json_type(j) = 'OBJECT' AND ((j ->> '$.type') = 'Feature' OR ((j ->> '$.type') IS NULL AND (j -> '$.geometry') IS NOT NULL)) THEN [j -> '$.geometry']
+  WHEN json_type(j) = 'OBJECT' AND ((j ->> '$.type') = 'FeatureCollection' OR ((j ->> '$.type') IS NULL AND (j -> '$.features') IS NOT NULL)) THEN from_json(j -> '$.features', '["JSON"]')
+  WHEN json_type(j) = 'OBJECT' AND ((j ->> '$.type') = 'GeometryCollection' OR ((j ->> '$.type') IS NULL AND (j -> '$.geometries') IS NOT NULL)) THEN from_json(j -> '$.geometries', '["JSON"]')
+  WHEN json_type(j) = 'OBJECT' AND ((j ->> '$.type') IS NULL OR (j ->> '$.type') IN ('Polygon', 'MultiPolygon')) THEN [j -> '$.coordinates']
+  WHEN json_type(j) = 'ARRAY' AND json_type((j -> '$[0][0][0][0]')) IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN from_json(j, '["JSON"]') END AS ch FROM gj))),
+pg AS (SELECT box_id, part, j FROM gj WHERE json_type(j) = 'ARRAY' AND json_type((j -> '$[0][0][0]')) IN ('DOUBLE', 'UBIGINT', 'BIGINT')),
+rg AS (SELECT box_id, part, unnest(range(len(rs))) AS ring, unnest(rs) AS r FROM (SELECT box_id, part, from_json(j, '["JSON"]') AS rs FROM pg)),
+pt AS (SELECT box_id, part, ring, unnest(range(len(q))) AS k, unnest(q) AS q FROM (SELECT box_id, part, ring, from_json(r, '["JSON"]') AS q FROM rg)),
+xy AS (SELECT box_id, part, ring, k, CAST((q -> '$[0]') AS DOUBLE) AS ax, CAST((q -> '$[1]') AS DOUBLE) AS ay FROM pt),
+sd AS (SELECT *, coalesce(lead(ax) OVER w, first_value(ax) OVER w) AS bx, coalesce(lead(ay) OVER w, first_value(ay) OVER w) AS b_y FROM xy WINDOW w AS (PARTITION BY box_id, part, ring ORDER BY k)),
+ar AS (SELECT box_id, part, ring FROM sd GROUP BY box_id, part, ring HAVING count(*) >= 3 AND abs(sum((ax - 5) * (b_y - 5) - (bx - 5) * (ay - 5))) > 1e-12),
+cr AS (SELECT ps.id, box_id, part, ring FROM sd JOIN ar USING (box_id, part, ring) JOIN ps ON (ay > y) <> (b_y > y) AND x < (bx - ax) * (y - ay) / (b_y - ay) + ax GROUP BY ps.id, box_id, part, ring HAVING count(*) % 2 = 1),
+bo AS (SELECT id, box_id FROM cr GROUP BY id, box_id, part HAVING min(ring) = 0 AND max(ring) = 0),
+nr AS (SELECT a.id AS id_a, b.id AS id_b FROM ps a JOIN ps b ON a.id < b.id AND b.y BETWEEN a.y - 0.0003 AND a.y + 0.0003 WHERE 2 * 6371008.8 * asin(least(1, sqrt(sin((b.la - a.la) / 2) ** 2 + cos(a.la) * cos(b.la) * sin((b.lo - a.lo) / 2) ** 2))) <= 25)
+SELECT DISTINCT 'near' AS kind, id_a, id_b FROM nr UNION ALL SELECT DISTINCT 'in', id, box_id FROM bo"""
+
+
 SQL = {
+    "p5_found": _NEAR,
     **_P2,
     "p3_found": f"WITH RECURSIVE {CELLS} SELECT DISTINCT rec_id, root, path, least(a, b) AS u, greatest(a, b) AS v FROM ed",
     "p4_found": f"{_ORPHANS} SELECT ref_table, ref_id, field, kind FROM op",
