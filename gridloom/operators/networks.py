@@ -124,6 +124,96 @@ def bridges_of(pairs: list[tuple]) -> list[int]:
     return found
 
 
+def bags(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``graph_id, bag, node, members, parent, edges``: the junction tree of each graph, whose sources count as one node.
+
+    A bag is that of the ``node`` which it eliminates; every edge but loops belongs to one bag, that of its end which goes first.
+    """
+    tagged = edges.select("graph_id", "edge_id", "u", "v", F.lit(False).alias("is_source")).unionByName(nodes.select("graph_id", F.lit(None).cast("bigint").alias("edge_id"), F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "is_source"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points, links = pdf[pdf.v.isna()], pdf[pdf.v.notna()]
+        sources = {int(n) for n in points.u[points.is_source]}
+        source = min(sources) if sources else None
+        name = lambda n: source if n in sources else n
+        rows = [(name(int(u)), name(int(v)), 0.0) for u, v in zip(links.u, links.v, strict=True)]
+        ids = sorted({name(int(n)) for n in points.u} | {n for u, v, _ in rows for n in (u, v)})
+        tree = Junction(ids, rows, source)
+        names = links.edge_id.astype("int64").tolist()
+        out = [(key[0], k, n, [m for m in tree.members[k] if m is not None], tree.parent[k] if tree.parent[k] >= 0 else None, [names[e] for e in tree.own[k]]) for k, n in enumerate(tree.order)]
+        return pd.DataFrame(out, columns=["graph_id", "bag", "node", "members", "parent", "edges"]).astype({"parent": "Int64"})
+
+    kind = edges.schema["graph_id"].dataType.simpleString()
+    return tagged.groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, bag bigint, node bigint, members array<bigint>, parent bigint, edges array<bigint>")
+
+
+def edge_components(edges: DataFrame, k: int) -> DataFrame:
+    """``graph_id, node, component``: nodes that no loss of fewer than ``k`` edges separates, named by the smallest. One graph is one group.
+
+    For 2, what bridges separate; above, by the tree of smallest cuts (a maximum flow for each node but one).
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs = list(zip(pdf.u.tolist(), pdf.v.tolist(), strict=True))
+        ids = sorted({n for p in pairs for n in p})
+        if k <= 2:
+            gone = set(bridges_of(pairs)) if k == 2 else set()
+            links = [p for i, p in enumerate(pairs) if i not in gone]
+        else:
+            links = [(a, b) for a, b, flow in smallest_cuts(ids, pairs) if flow >= k]
+        root = {n: n for n in ids}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return pd.DataFrame({"graph_id": key[0], "node": ids, "component": [find(n) for n in ids]})
+
+    kind = edges.schema["graph_id"].dataType.simpleString()
+    return edges.select("graph_id", F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).groupBy("graph_id").applyInPandas(run, f"graph_id {kind}, node bigint, component bigint")
+
+
+def smallest_cuts(ids: list, pairs: list[tuple]) -> list[tuple]:
+    """Edges ``(node, parent, flow)`` of a tree whose least flow on the way between two nodes is the number of edges that separates them."""
+    capacity: dict = {n: {} for n in ids}
+    for a, b in pairs:
+        if a != b:
+            capacity[a][b] = capacity[a].get(b, 0) + 1
+            capacity[b][a] = capacity[b].get(a, 0) + 1
+    parent = {n: ids[0] for n in ids}
+    out = []
+    for i, s in enumerate(ids[1:], 1):
+        t = parent[s]
+        room = {n: dict(x) for n, x in capacity.items()}
+        flow = 0
+        while True:
+            seen = {s: None}
+            queue = [s]
+            for x in queue:
+                for y, c in room[x].items():
+                    if c > 0 and y not in seen:
+                        seen[y] = x
+                        queue.append(y)
+            if t not in seen:
+                break
+            y = t
+            while seen[y] is not None:
+                x = seen[y]
+                room[x][y] -= 1
+                room[y][x] += 1
+                y = x
+            flow += 1
+        for n in ids[i + 1 :]:
+            if n in seen and parent[n] == t:
+                parent[n] = s
+        out.append((s, t, flow))
+    return out
+
+
 # --- exact indexes by way of the skeleton ------------------------------------------------
 
 

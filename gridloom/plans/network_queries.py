@@ -64,6 +64,22 @@ def network_length_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gain.select("rec_id", F.round("length_gain", 6).alias("length_gain"), F.round("rho_gain", 6).alias("rho_gain"))
 
 
+def network_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The junction tree of every cell: bags, edges assigned, and edges whose ends their bag lacks (none)."""
+    n, e = _graphs(spark, sf_dir)
+    b = networks.bags(n, e)
+    held = b.select("graph_id", F.col("members"), F.explode("edges").alias("edge_id")).join(e, ["graph_id", "edge_id"]).join(n.where("is_source").groupBy("graph_id").agg(F.collect_set("node").alias("s")), "graph_id")
+    inside = lambda c: F.array_contains("members", F.col(c)) | F.array_contains("s", F.col(c))
+    outside = held.groupBy("graph_id").agg(F.count_if(~(inside("u") & inside("v"))).alias("outside"))
+    return b.groupBy("graph_id").agg(F.count("*").alias("bags"), F.sum(F.size("edges")).alias("edges")).join(outside, "graph_id", "left").select("graph_id", "bags", F.col("edges").cast("bigint").alias("edges"), F.coalesce("outside", F.lit(0)).alias("outside"))
+
+
+def network_two_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of every cell's graph that the loss of one edge does not split."""
+    _, e = _graphs(spark, sf_dir)
+    return networks.edge_components(e, 2)
+
+
 def p3_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten(_cells(spark, sf_dir), "networks")
 
@@ -76,7 +92,7 @@ def p3_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.flatten(_cells(spark, sf_dir), "edges")
 
 
-QUERIES = {f.__name__: f for f in (p3_networks, p3_nodes, p3_edges, network_nodes, network_edges, network_summary, network_saidi, network_nodes_rel, network_saidi_agree, network_gain, network_length_gain)}
+QUERIES = {f.__name__: f for f in (p3_networks, p3_nodes, p3_edges, network_nodes, network_edges, network_summary, network_saidi, network_nodes_rel, network_saidi_agree, network_gain, network_length_gain, network_bags, network_two_connected)}
 
 
 _OPEN = "CASE WHEN json_type({0}) = 'VARCHAR' THEN CASE WHEN json_valid({0} ->> '$') THEN CAST({0} ->> '$' AS JSON) END ELSE {0} END"
@@ -122,6 +138,10 @@ SQL = {
     "network_edges": f"WITH RECURSIVE {_GRAPHS} SELECT graph_id, edge_id, u, v, prob, round(length, 6) AS length FROM ee",
     "network_summary": f"""WITH RECURSIVE {_SUMMARY} SELECT graph_id, n, m, r, round(r / n, 9) AS rho, round(CASE WHEN r > 1 THEN (n - 2 * (r - 1)) / (3 * (r - 1)) ELSE n END, 9) AS chain, round(length, 6) AS length, round(two_connected, 9) AS two_connected,
  CASE WHEN n - 1 >= forks THEN CASE WHEN r < 1 THEN 0 ELSE round(((5e-4 * 5e-4 * (l ** 3 + 3 * l ** 2 + 2 * l) / 6) * (chains - k) + (5e-4 * 5e-4 * ((l + 1) ** 3 + 3 * (l + 1) ** 2 + 2 * (l + 1)) / 6) * k) / n, 12) END END AS optimal_loss FROM lo""",
+    "network_bags": f"""WITH RECURSIVE {_GRAPHS}, so AS (SELECT graph_id, node FROM nn WHERE is_source) SELECT n.graph_id, n.bags, CAST(coalesce(e.edges, 0) AS BIGINT) AS edges, CAST(0 AS BIGINT) AS outside FROM (SELECT graph_id, count(*) FILTER (WHERE NOT is_source) AS bags FROM nn GROUP BY graph_id) n
+ LEFT JOIN (SELECT graph_id, count(*) AS edges FROM ee WHERE u <> v AND NOT (EXISTS (SELECT 1 FROM so WHERE so.graph_id = ee.graph_id AND so.node = u) AND EXISTS (SELECT 1 FROM so WHERE so.graph_id = ee.graph_id AND so.node = v)) GROUP BY graph_id) e USING (graph_id) WHERE n.bags > 0""",
+    "network_two_connected": f"""WITH RECURSIVE {_SUMMARY}, kp AS (SELECT graph_id, u, v FROM ee WHERE u <> v AND EXISTS (SELECT 1 FROM wo WHERE wo.graph_id = ee.graph_id AND gone = edge_id AND wo.node = v)), k2 AS (SELECT graph_id, u AS a, v AS b FROM kp UNION SELECT graph_id, v, u FROM kp),
+ends AS (SELECT DISTINCT graph_id, unnest([u, v]) AS node FROM ee), re(graph_id, node, root) AS (SELECT graph_id, node, node FROM ends UNION SELECT re.graph_id, b, root FROM re JOIN k2 ON k2.graph_id = re.graph_id AND a = node) SELECT graph_id, node, min(root) AS component FROM re GROUP BY graph_id, node""",
     "network_saidi_agree": f"WITH RECURSIVE {_GRAPHS} SELECT graph_id, count(*) AS n, true AS agree FROM nn GROUP BY graph_id",
     "network_length_gain": f"WITH RECURSIVE {_SUMMARY}, sd AS (SELECT CAST(split_part(graph_id, '/', 1) AS BIGINT) AS rec_id, split_part(graph_id, '/', 2) AS root, length, r / n AS rho FROM su) SELECT g.rec_id, round(1 - o.length / nullif(g.length, 0), 6) AS length_gain, round(1 - o.rho / nullif(g.rho, 0), 6) AS rho_gain FROM sd g JOIN sd o ON o.rec_id = g.rec_id WHERE g.root = 'graph' AND o.root = 'optimal_network'",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import geo, prob
+from gridloom.functions import arrays, geo, prob, sql
 from gridloom.operators import analysis, design, graphs, networks, spatial
 from gridloom.plans.reference import CENTERS, NEAR, PAIRS, POINTS, _polys, near, points, query, r, region_edges
 from gridloom.session import cut, table
@@ -118,6 +118,33 @@ def positive_roots(spark, sf_dir):
     return prob.root_rows(n.select("n_nationkey", "n_regionkey"), poly).where("root > 0").select("n_nationkey", r("root", 6).alias("root"))
 
 
+@query("""WITH b AS (SELECT n_nationkey AS k, n_regionkey AS g FROM nation)
+SELECT k AS n_nationkey, op, CAST(i AS BIGINT) AS i, round(CAST(v[i + 1] AS DOUBLE), 9) AS value FROM (SELECT k, unnest(['pad', 'cut', 'roll', 'linspace', 'logspace', 'interp']) AS op,
+ unnest([[1, k, g, 0, 0], [1, k], CASE g % 3 WHEN 0 THEN [1, k, g] WHEN 1 THEN [g, 1, k] ELSE [k, g, 1] END, [k, k + 0.25, k + 0.5, k + 0.75, k + 1], [1, sqrt(k + 1), k + 1], [CASE WHEN k <= 1 THEN 10 WHEN k >= 9 THEN 50 WHEN k < 4 THEN 10 + (k - 1) * 10 / 3 ELSE 20 + (k - 4) * 6 END]]) AS v FROM b) CROSS JOIN range(5) t(i) WHERE i < len(v)""")
+def array_tools(spark, sf_dir):
+    """Arrays padded, cut, rolled, spaced and interpolated."""
+    base = _polys(spark, sf_dir)
+    k, g = F.col("n_nationkey"), F.col("b")[0].cast("int")
+    fixed = lambda *v: F.array(*[F.lit(float(x)) for x in v])
+    rows = {
+        "pad": arrays.resized(F.col("a"), 5), "cut": arrays.resized(F.col("a"), 2), "roll": arrays.rolled(F.col("a"), g), "linspace": arrays.linspace(k.cast("double"), k + 1.0, 5),
+        "logspace": arrays.logspace(F.lit(1.0), k + 1.0, 3), "interp": F.array(arrays.interpolated(k.cast("double"), fixed(1, 4, 9), fixed(10, 20, 50))),
+    }
+    out = None
+    for op, values in rows.items():
+        part = _long(base, op, values)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT n_nationkey, round(1 + n_nationkey * 0.5 + n_regionkey * 0.25, 9) AS value, round(1 - (1 - 0.01) * (1 - n_regionkey / 10), 9) AS fail, round(1 - exp(-n_nationkey / 10), 9) AS edge, round(n_nationkey * pi() * 6378137 / 180, 3) AS mx, (n_nationkey - 1) * n_nationkey * (n_nationkey + 1) / 6 AS risk FROM nation")
+def functions_in_sql(spark, sf_dir):
+    """The package's functions called from SQL text."""
+    sql.register(spark)
+    rows = _polys(spark, sf_dir).withColumn("g", F.col("b")[0])
+    return rows.select("n_nationkey", *[F.expr(f"round({e}, {d})").alias(c) for c, e, d in (("value", "poly_value(a, 0.5D)", 9), ("fail", "chain_fail(array(0.01D, g / 10))", 9), ("edge", "edge_fail(cast(n_nationkey as double), 0.1D)", 9), ("mx", "mercator_x(cast(n_nationkey as double))", 3), ("risk", "chain_risk(cast(n_nationkey as double))", 9))])
+
+
 # --- geometry -------------------------------------------------------------------------------------
 
 

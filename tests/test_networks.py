@@ -100,3 +100,47 @@ def test_improvement(spark):
     after = spark.createDataFrame([(1, 3.0, 1.0)], "k bigint, length double, loss double")
     row = networks.improvement(before, after, "k", "length", "loss").select("k", F.col("length_gain"), "loss_gain").first()
     assert tuple(row) == (1, 0.25, None)
+
+
+def test_edge_components_against_removals(spark):
+    import itertools
+
+    from test_graphs import groups
+
+    rng = random.Random(11)
+    for seed in range(3):
+        nodes = list(range(7))
+        pairs = [(rng.randrange(7), rng.randrange(7)) for _ in range(13)]
+        ids = sorted({n for p in pairs for n in p})
+        df = spark.createDataFrame([("g", i, u, v) for i, (u, v) in enumerate(pairs)], "graph_id string, edge_id bigint, u bigint, v bigint")
+        for k in (1, 2, 3):
+            same = {(a, b) for a, b in itertools.combinations(ids, 2)}
+            for gone in itertools.combinations(range(len(pairs)), k - 1):
+                root = groups([p for i, p in enumerate(pairs) if i not in gone], nodes)
+                same &= {(a, b) for a, b in same if root[a] == root[b]}
+            got = {r.node: r.component for r in networks.edge_components(df, k).collect()}
+            assert {(a, b) for a, b in itertools.combinations(ids, 2) if got[a] == got[b]} == same, (seed, k)
+            assert all(c == min(n for n in ids if got[n] == c) for c in got.values())
+
+
+def test_bags_hold_their_edges_and_run_through_the_tree(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(9), rng.randrange(9)) for _ in range(18)]
+    nodes = spark.createDataFrame([("g", n, n in (0, 4)) for n in range(9)], "graph_id string, node bigint, is_source boolean")
+    edges = spark.createDataFrame([("g", i, u, v, 0.1) for i, (u, v) in enumerate(pairs)], "graph_id string, edge_id bigint, u bigint, v bigint, prob double")
+    rows = {r.bag: r for r in networks.bags(nodes, edges).collect()}
+    name = lambda n: 0 if n in (0, 4) else n
+    assert sorted(r.node for r in rows.values()) == [n for n in range(9) if n not in (0, 4)]
+    held = [(e, r) for r in rows.values() for e in r.edges]
+    assert sorted(e for e, _ in held) == [i for i, (u, v) in enumerate(pairs) if name(u) != name(v)]
+    assert all({name(pairs[e][0]), name(pairs[e][1])} <= set(r.members) for e, r in held)
+    for n in range(1, 9):  # the bags of a node are linked: all but one have a parent with the node too
+        tops = [r for r in rows.values() if n in r.members and (r.parent is None or n not in rows[r.parent].members)]
+        assert len(tops) <= 1
+
+
+def test_functions_in_sql(spark):
+    from gridloom.functions import sql
+
+    sql.register(spark)
+    assert spark.sql("SELECT poly_value(array(1D, 2D), 0.5D) AS v").first().v == 2.0 and set(sql.FUNCTIONS) >= {"chain_fail", "mercator_y"}
