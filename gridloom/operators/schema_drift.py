@@ -194,21 +194,21 @@ class Records:
 
     def __init__(self, lines: DataFrame, run_field: str = "run_id"):
         self.lines, self.run_field = _bare(lines), run_field
-        counted = cut(self._kinds(self.lines, refused=True))
+        # values without kind are left out after the cut: a filter on the kind would be worked out twice
+        counted = cut(self._kinds(self.lines)).where("kind is not null")
         again = counted.where("path is null").select("stream_id", "file_id", "line_no", F.col("kind").alias("body"))
         self.refused = cut(again.mapInArrow(_again, "stream_id bigint, file_id bigint, line_no bigint, body string").where("body is not null"))
         known = counted.where("path is not null").select("stream_id", "file_id", "path", "kind", "n")
         if not self.refused.isEmpty():
-            known = known.unionByName(self._kinds(self.refused, refused=False).select("stream_id", "file_id", "path", "kind", "n"))
+            known = known.unionByName(self._kinds(self.refused).where("kind is not null and path is not null").select("stream_id", "file_id", "path", "kind", "n"))
         self.stats = known.groupBy("stream_id", "file_id", "path").agg(F.concat_ws("|", F.array_sort(F.collect_set("kind"))).alias("kinds"), F.sum("n").alias("n_values"))
 
-    def _kinds(self, rows: DataFrame, refused: bool) -> DataFrame:
-        """``stream_id, file_id, line_no, path, kind, n``; a refused line has its text as kind, and no path."""
+    def _kinds(self, rows: DataFrame) -> DataFrame:
+        """``stream_id, file_id, line_no, path, kind, n``; a refused line has its text as kind, and no path, a value that is none no kind."""
         parsed = rows.withColumn("fields", _fields("body"))
         each = parsed.select("stream_id", "file_id", "line_no", F.when(F.col("fields").isNull(), F.col("body")).alias("body"), F.explode_outer("fields").alias("path", "v"))
         named = each.where((F.col("path") != self.run_field) | F.col("path").isNull()).withColumn("schema", F.schema_of_variant("v"))
         kinds = named.select("stream_id", "file_id", F.when(F.col("path").isNull(), F.col("line_no")).alias("line_no"), "path", F.coalesce("body", _kind("v", "schema")).alias("kind"))
-        kinds = kinds.where("kind is not null" if refused else "kind is not null and path is not null")
         return kinds.groupBy("stream_id", "file_id", "line_no", "path", "kind").agg(F.count("*").alias("n"))
 
     def values(self, wanted: DataFrame | None = None) -> DataFrame:
@@ -221,10 +221,13 @@ class Records:
             rows = rows.join(wanted, ["stream_id", "file_id"])
         run = f"fields['{self.run_field}']"
         run_id = F.expr(f"case when schema_of_variant({run}) in ('STRING', 'VOID') then try_variant_get({run}, '$', 'string') else to_json({run}) end")
-        parsed = rows.withColumn("fields", _fields("body")).withColumn("run_id", run_id).where("run_id is not null")
-        held = F.col("fields") if wanted is None else F.map_filter("fields", lambda k, _: F.array_contains("paths", k))
-        each = parsed.select("stream_id", "file_id", "line_no", "run_id", F.explode(held).alias("path", "v"))
-        return each.where((F.col("path") != self.run_field) & (F.schema_of_variant("v") != "VOID")).withColumn("value", F.to_json("v")).drop("v").where("value <> '[]'")
+        parsed = rows.withColumn("fields", _fields("body"))
+        # everything is left out within the map: a filter on what is made of the fields would parse the lines twice
+        some = "not is_variant_null(v) and (try_variant_get(v, '$[0]', 'variant') is not null or try_variant_get(v, '$', 'array<variant>') is null)"
+        named = "" if wanted is None else "array_contains(paths, k) and "
+        held = F.expr(f"case when {run} is not null and not is_variant_null({run}) then map_filter(fields, (k, v) -> k <> '{self.run_field}' and {named}{some}) end")
+        each = parsed.select("stream_id", "file_id", "line_no", run_id.alias("run_id"), F.explode(held).alias("path", "v"))
+        return each.select("stream_id", "file_id", "line_no", "run_id", "path", F.to_json("v").alias("value"))
 
 
 def file_order(lines: DataFrame) -> DataFrame:

@@ -127,22 +127,21 @@ def test_values_keep_order_and_text(spark):
     assert row.extras == {} and row.failed == []
 
 
-@pytest.mark.parametrize(
-    ("field", "value", "want"),
-    [
-        ("sources", "n5", [5]), ("sources", "4; 1", [4, 1]), ("sources", {"10": 1, "9": 1}, [9, 10]), ("sources", 7, [7]), ("sources", ["n3", None, 2], [3, None, 2]), ("sources", "[2,1]", [2, 1]),
-        ("p", "0.25", [0.25]), ("p", 1e-5, [1e-5]), ("n", [8], 8), ("n", " 8 ", 8), ("n", 8.0, 8), ("rho", "1e-3", 0.001), ("trial", 9007199254740993, 9007199254740993),
-    ],
-)
-def test_forms_of_a_column(spark, field, value, want):
-    row = sd.runs(lines(spark, [(1, 1, 0, [{"run_id": "r", field: value}])])).first()
-    assert row[field] == want and row.failed == []
-
-
-@pytest.mark.parametrize(("field", "value"), [("n", 4.7), ("n", True), ("n", [1, 2]), ("n", {"a": 1}), ("sources", ["x", 1]), ("sources", {"a": 1}), ("p", [0.5, "bad"]), ("graph", [1, 2]), ("graph", "plain"), ("saidi", "1.2.3")])
-def test_failed_casts_are_reported(spark, field, value):
-    row = sd.runs(lines(spark, [(1, 1, 0, [{"run_id": "r", field: value}])])).first()
-    assert [(x.field, json.loads(x.value), x.target) for x in row.failed] == [(field, value, sd.RUN_COLUMNS[field])]
+FORMS = [
+    ("sources", "n5", [5]), ("sources", "4; 1", [4, 1]), ("sources", {"10": 1, "9": 1}, [9, 10]), ("sources", 7, [7]), ("sources", ["n3", None, 2], [3, None, 2]), ("sources", "[2,1]", [2, 1]),
+    ("p", "0.25", [0.25]), ("p", 1e-5, [1e-5]), ("n", [8], 8), ("n", " 8 ", 8), ("n", 8.0, 8), ("rho", "1e-3", 0.001), ("trial", 9007199254740993, 9007199254740993),
+]
+FAILED = [("n", 4.7), ("n", True), ("n", [1, 2]), ("n", {"a": 1}), ("sources", ["x", 1]), ("sources", {"a": 1}), ("p", [0.5, "bad"]), ("graph", [1, 2]), ("graph", "plain"), ("saidi", "1.2.3")]
+
+
+def test_forms_of_columns_and_failed_casts(spark):
+    cases = [(f, v) for f, v, _ in FORMS] + FAILED
+    got = {int(r.run_id): r for r in sd.runs(lines(spark, [(1, 1, 0, [{"run_id": str(i), f: v} for i, (f, v) in enumerate(cases)])])).collect()}
+    for i, (field, value) in enumerate(cases):
+        if i < len(FORMS):
+            assert got[i][field] == FORMS[i][2] and got[i].failed == [], cases[i]
+        else:
+            assert [(x.field, json.loads(x.value), x.target) for x in got[i].failed] == [(field, value, sd.RUN_COLUMNS[field])], cases[i]
 
 
 def test_graphs_in_one_form(spark):
