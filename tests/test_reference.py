@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import reference
+from gridloom.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -24,12 +24,12 @@ def text(v):
         return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(reference.SQL))
+@pytest.mark.parametrize("name", sorted(registry.core_sql()))
 def test_same_as_sql(spark, small, duck, name):
-    df = reference.QUERIES[name](spark, small)
+    df = registry.core_queries()[name](spark, small)
     columns = sorted(df.columns)
     got = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
-    rel = duck.sql(reference.SQL[name])
+    rel = duck.sql(registry.core_sql()[name])
     assert sorted(rel.columns) == columns
     at = [rel.columns.index(c) for c in columns]
     assert got == sorted(tuple(text(r[i]) for i in at) for r in rel.fetchall())
