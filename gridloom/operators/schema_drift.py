@@ -198,8 +198,9 @@ class Records:
         counted = cut(self._kinds(self.lines)).where("kind is not null")
         again = counted.where("path is null").select("stream_id", "file_id", "line_no", F.col("kind").alias("body"))
         self.refused = cut(again.mapInArrow(_again, "stream_id bigint, file_id bigint, line_no bigint, body string").where("body is not null"))
+        self.some_refused = not self.refused.isEmpty()
         known = counted.where("path is not null").select("stream_id", "file_id", "path", "kind", "n")
-        if not self.refused.isEmpty():
+        if self.some_refused:
             known = known.unionByName(self._kinds(self.refused).where("kind is not null and path is not null").select("stream_id", "file_id", "path", "kind", "n"))
         self.stats = known.groupBy("stream_id", "file_id", "path").agg(F.concat_ws("|", F.array_sort(F.collect_set("kind"))).alias("kinds"), F.sum("n").alias("n_values"))
 
@@ -216,7 +217,7 @@ class Records:
 
         With ``wanted`` (``stream_id, file_id, paths``) only those files' lines are parsed, and only those fields come out.
         """
-        rows = self.lines if self.refused.isEmpty() else self.lines.unionByName(self.refused)
+        rows = self.lines.unionByName(self.refused) if self.some_refused else self.lines
         if wanted is not None:
             rows = rows.join(wanted, ["stream_id", "file_id"])
         run = f"fields['{self.run_field}']"
