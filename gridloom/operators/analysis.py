@@ -41,17 +41,18 @@ def ratio_fit(rows: DataFrame, keys: list[str], x: str = "p", y: str = "f") -> D
     return rows.groupBy(*keys).agg((F.sum(y) / F.sum(F.col(x) * F.col(x))).alias("b2"), F.count("*").alias("n_rows")).withColumn("pc", F.try_divide(F.lit(1.0), F.col("b2")))
 
 
-def average_rank(rows: DataFrame, key: str, value: str, bucket: Column) -> DataFrame:
+def average_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
     """``rows`` with ``avg_rank``, ties sharing the mean of their places.
 
-    Equal values are counted first; ``bucket`` rises with the value and splits a large group: the
-    places before a bucket are a sum over buckets, so no group is ordered in one task.
+    Equal values are counted first; the distinct values are divided by ranges of about equal size, so a large group lies in many
+    parts: the places before a part are a sum over parts, and only within a part are values put in order.
     """
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("ties")).withColumn("bucket", bucket)
-    totals = counts.groupBy(key, "bucket").agg(F.sum("ties").alias("held"))
-    before = totals.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    inside = Window.partitionBy(key, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("ties").over(inside)).join(before, [key, "bucket"])
+    counts = rows.groupBy(key, value).agg(F.count("*").alias("ties"))
+    parts = cut(counts.repartitionByRange(key, value).withColumn("part", F.spark_partition_id()))
+    totals = parts.groupBy(key, "part").agg(F.sum("ties").alias("held"))
+    before = totals.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    inside = Window.partitionBy(key, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("upto", F.sum("ties").over(inside)).join(before, [key, "part"])
     ranks = placed.select(key, value, (F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2.0).alias("avg_rank"))
     return rows.join(ranks, [key, value])
 

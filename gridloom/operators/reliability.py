@@ -377,3 +377,33 @@ def edges_rel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     share = lambda ru, rv: F.sum(F.when((F.col("ru") == ru) & (F.col("rv") == rv), F.col("q")).otherwise(0.0))
     small = k.groupBy("graph_id", "edge_id", "u", "v").agg(share(0, 0).alias("neither"), share(1, 0).alias("only_u"), share(0, 1).alias("only_v"), share(1, 1).alias("both_ends"))
     return small.unionByName(_kernel(large_n, large_e, "edge_id bigint, u bigint, v bigint, neither double, only_u double, only_v double, both_ends double", _solve_edges))
+
+
+KINDS = ("saidi", "all_terminal", "pairwise", "edges_rel", "nodes_rel")
+
+
+def indexes(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``graph_id, kind, key, value``: the indexes named in ``kinds``, all exact. Input as for ``saidi_exact``.
+
+    ``key`` is null for an index of the whole graph, the node for ``nodes_rel`` and ``edge:ends`` for ``edges_rel``, where
+    ``ends`` (``none, u, v, uv``) are those that the source reaches without the edge.
+    """
+    if unknown := set(kinds) - set(KINDS):
+        raise ValueError(f"unknown indexes: {sorted(unknown)}")
+    parts = []
+    none = F.lit(None).cast("string")
+    for kind, f, column in (("saidi", saidi_exact, "saidi"), ("all_terminal", all_terminal, "disconnected"), ("pairwise", pairwise, "pairwise_loss")):
+        if kind in kinds:
+            parts.append(f(nodes, edges).select("graph_id", F.lit(kind).alias("kind"), none.alias("key"), F.col(column).alias("value")))
+    if "nodes_rel" in kinds:
+        parts.append(exact(nodes, edges).select("graph_id", F.lit("nodes_rel").alias("kind"), F.col("node").cast("string").alias("key"), F.col("q")[0].alias("value")))
+    if "edges_rel" in kinds:
+        ends = F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("value")) for n, c in (("none", "neither"), ("u", "only_u"), ("v", "only_v"), ("uv", "both_ends"))])
+        each = edges_rel(nodes, edges).select("graph_id", "edge_id", F.explode(ends).alias("x"))
+        parts.append(each.select("graph_id", F.lit("edges_rel").alias("kind"), F.concat_ws(":", F.col("edge_id").cast("string"), "x.n").alias("key"), "x.value"))
+    out = parts[0] if parts else None
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    if out is None:
+        raise ValueError("no index is asked for")
+    return out

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import arrays, geo, prob, sql
-from gridloom.operators import analysis, design, graphs, networks, spatial
-from gridloom.plans.reference import CENTERS, NEAR, PAIRS, POINTS, _polys, near, points, query, r, region_edges
+from gridloom.operators import analysis, design, graphs, networks, reliability, spatial
+from gridloom.plans.reference import NEAR, PAIRS, POINTS, SQL, _polys, near, points, query, r, region_edges
 from gridloom.session import cut, table
 from gridloom.sources import synthetic
 
@@ -251,6 +251,14 @@ def chain_losses(spark, sf_dir):
     return analysis.chain_losses(placed, ["graph_id"], "place", "p").select("graph_id", "place", r("q_left").alias("q_left"), r("q_right").alias("q_right"))
 
 
+@query(f"""SELECT graph_id, 'saidi' AS kind, NULL AS key, saidi AS value FROM ({SQL['k5_state_enum_saidi']}) UNION ALL SELECT graph_id, 'all_terminal', NULL, disconnected FROM ({SQL['k5_all_terminal']}) UNION ALL SELECT graph_id, 'pairwise', NULL, pairwise_loss FROM ({SQL['k5_pairwise']})
+UNION ALL SELECT graph_id, 'nodes_rel', CAST(node AS VARCHAR), q FROM ({SQL['exact_nodes_rel']})
+UNION ALL SELECT graph_id, 'edges_rel', edge || ':' || n, x FROM (SELECT graph_id, edge, unnest(['none', 'u', 'v', 'uv']) AS n, unnest([neither, only_u, only_v, both_ends]) AS x FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY u, v) - 1 AS edge FROM ({SQL['k5_edges_rel']})))""")
+def k5_indexes(spark, sf_dir):
+    """Every index of each region's graph in one table."""
+    return reliability.indexes(*region_edges(spark, sf_dir)).withColumn("value", r("value"))
+
+
 # --- designed networks: what must hold of them --------------------------------------------------------
 
 

@@ -568,7 +568,7 @@ def pc_group_fit(spark, sf_dir):
 @query("WITH s AS (SELECT DISTINCT * FROM series) SELECT row_id, rank() OVER w + (count(*) OVER (PARTITION BY graph_id, saidi) - 1) / 2.0 AS avg_rank FROM s WHERE isfinite(saidi) AND saidi >= 0 AND isfinite(p) WINDOW w AS (PARTITION BY graph_id ORDER BY saidi)")
 def avg_rank(spark, sf_dir):
     s = _clean_series(spark, sf_dir).select("row_id", "graph_id", "saidi")
-    return analysis.average_rank(s, "graph_id", "saidi", F.floor(F.log1p(F.col("saidi") * 1e6) * 16)).select("row_id", "avg_rank")
+    return analysis.average_rank(s, "graph_id", "saidi").select("row_id", "avg_rank")
 
 
 @query("WITH s AS (SELECT DISTINCT * FROM series WHERE isfinite(saidi) AND isfinite(p) AND saidi >= 0) SELECT graph_id, r, p, arg_max(saidi, row(t, row_id)) AS last_saidi, max(t) AS t FROM s GROUP BY graph_id, r, p")
