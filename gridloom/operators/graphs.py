@@ -31,6 +31,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
     node are aggregated, a hub is no heavier than its rows.
     """
     links = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct())
+    n = -1
     for _ in range(max_rounds):
         # large star: larger neighbours are hung on the smallest neighbour
         two = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -40,7 +41,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         small = cut(small)
-        same = small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty()
+        # both are sets: equal if they have the same size and one lies in the other
+        n, before = small.count(), n
+        same = n == before and small.join(links, ["a", "b"], "left_anti").isEmpty()
         links = small
         if same:
             break
