@@ -12,8 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gridloom.session import remove_folder, shared_folder
 
 
+#: Rows of a file that :func:`arrivals` writes, on average.
+FILE_ROWS = 2_000_000
+
+
 def arrivals(spark: SparkSession, sf_dir: str, name: str = "events", batches: int = 4, delay: Column | None = None) -> DataFrame:
-    """A table as a stream of ``batches`` files, one for each micro-batch, in the order in which its rows arrive.
+    """A table as a stream of ``batches`` micro-batches, each of a file for every ``FILE_ROWS`` rows, in the order in which its rows arrive.
 
     A row arrives at its ``ts`` plus ``delay`` in seconds (by default up to half an hour by a rule), so rows are out of
     order within and between batches. The files lie in the shared folder until :func:`run_once` has read them.
@@ -21,14 +25,15 @@ def arrivals(spark: SparkSession, sf_dir: str, name: str = "events", batches: in
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     late = F.pmod(F.col("event_id") * 7919 + 12345, F.lit(1801)) if delay is None else delay
     arrived = F.unix_micros(F.col("ts").cast("timestamp")) + late.cast("bigint") * 1_000_000
-    span = rows.agg(F.min(arrived).alias("low"), F.max(arrived).alias("high")).first()
+    span = rows.agg(F.min(arrived).alias("low"), F.max(arrived).alias("high"), F.count("*").alias("n")).first()
+    files = max(1, -(-span.n // (batches * FILE_ROWS)))
     place = f"{shared_folder(spark)}/arrivals-{uuid.uuid4().hex}"
     low, width = span.low or 0, max((span.high or 0) - (span.low or 0), 1)
     part = F.least(F.floor((arrived - F.lit(low)) * batches / F.lit(width)), F.lit(batches - 1))
     held = rows.withColumn("__part", part)
-    for k in range(batches):  # one file after the other, so that their times are in order
-        held.where(F.col("__part") == k).drop("__part").coalesce(1).write.mode("overwrite").parquet(f"{place}/batch={k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(place)
+    for k in range(batches):  # one after the other, so that their times are in order
+        held.where(F.col("__part") == k).drop("__part").repartition(files).write.mode("overwrite").parquet(f"{place}/batch={k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(place)
 
 
 def tumbling_counts(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
